@@ -78,7 +78,7 @@ def packed(sizes: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
     inner = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inner)).join(sums, ["source_no", "bucket"])
+    rows = rows.withColumn("upto", F.sum("size").over(inner)).join(sums.hint("merge"), ["source_no", "bucket"])
     start = F.when(F.col("size") > 0, F.col("first") + F.col("upto") - F.col("size"))
     return rows.select("doc_id", "source_no", "size", start.alias("start"))
 
@@ -92,7 +92,8 @@ def slots(sources: DataFrame) -> DataFrame:
     # in two steps, so that the slots of a hot source are made by many tasks
     rows = rows.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)).where("slots > 0")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 10_000))))
-    rows = rows.repartition("source_no", "part")
+    # a stated number of partitions: sizes of shuffled rows say nothing about how many slots they become
+    rows = rows.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "part")
     first = F.col("part") * 10_000
     rows = rows.withColumn("slot", F.explode(F.sequence(first, F.least(first + 9_999, F.col("slots") - 1))))
     turn = F.floor(F.col("slot") / F.col("blocks"))
@@ -101,7 +102,7 @@ def slots(sources: DataFrame) -> DataFrame:
     return rows.select("source_no", "slot", shard.alias("shard"), block.alias("block"))
 
 
-def mix(docs: DataFrame, *keep: str) -> DataFrame:
+def mix(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, size, source_size, target and taken (words that the mix takes, repeats counted)."""
     space = Workspace(docs.sparkSession, "mixing")
     sizes = space.write(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
@@ -112,6 +113,7 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
     words = F.least(ends, (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("start", F.col("block") * BLOCK_WORDS)
     parts = parts.select("source_no", "block", "start", words.alias("words"))
     times = slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = parts.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = rows.join(taken, ["source_no", "start"], "left").join(sources, "source_no")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+    # none of these sides has a bounded size, so they are merged, never broadcast
+    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = rows.join(taken.hint("merge"), ["source_no", "start"], "left").join(sources, "source_no")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
