@@ -185,19 +185,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 
 def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """doc_id, score and the columns named in keep, for every row and its whole text."""
+    """doc_id, the columns named in keep and _fm_score, for every row and its whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))  # a fixed number of weights
     columns = list(dict.fromkeys(["doc_id", "text", "n_chars", *keep]))
     out = list(dict.fromkeys(["doc_id", *keep]))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", _fm_score double"
     known: dict[str, int] = {}
 
     def run(batches):
         model = Machine(*sent.value)
         for batch in batches:
             score = [model.score(*features(t, n, known)) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, "_fm_score"])
 
     small_batches(docs.sparkSession)
     return docs.select(*columns).mapInArrow(run, schema)
@@ -206,10 +206,10 @@ def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 where score >= threshold)."""
     return scored(docs, train(docs, labels)).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", held_out().alias("held_out"), F.col("_fm_score").alias("score"), (F.col("_fm_score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with all their columns unchanged."""
-    return scored(docs, train(docs, labels), *docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    return scored(docs, train(docs, labels), *docs.columns).where(F.col("_fm_score") >= threshold).select(*docs.columns)
