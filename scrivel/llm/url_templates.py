@@ -15,8 +15,12 @@ empty table gives no rows; other columns are ignored. No row meets another: only
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
+from scrivel.llm.common import Workspace
+
 #: (host, path, verdict)
 RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -34,8 +38,12 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def statement(dialect: str, pages: str, rules=RULES) -> str:
-    """The SELECT of page_id, host, path, rule and verdict."""
+#: steps that later ones read several times: written tables, so that plans stay short and lost executors cost one step
+WRITTEN = ("l0", "l1", "l2", "l3", "tree", "spread", "refused")
+
+
+def steps(dialect: str, pages: str, rules=RULES) -> tuple[list[tuple[str, str]], str]:
+    """Named subqueries in order, and the SELECT of page_id, host, path, rule and verdict over them."""
     d = DIALECTS[dialect]
     longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = " ".join(f"WHEN (host = {_quoted(h)} OR right(host, {len(h) + 1}) = {_quoted('.' + h)}) AND left(path, {len(p)}) = {_quoted(p)} THEN {{}}" for h, p, _ in longest)
@@ -43,25 +51,25 @@ def statement(dialect: str, pages: str, rules=RULES) -> str:
     says = "CASE " + fits.format(*(_quoted(v) for *_, v in longest)) + " END" if longest else "CAST(NULL AS VARCHAR(10))"
     item = "concat(g2, '/', g3, '/', CAST(depth AS VARCHAR(9)), ':', CAST(floor(10 * n / total) AS VARCHAR(9)))"
 
-    def level(i: int, keys: str) -> str:
+    def level(i: int, keys: str) -> list[tuple[str, str]]:
         """Branch i of the nodes named by keys, kept or made a wildcard."""
         on = " AND ".join(f"{{0}}.{k} = {{1}}.{k}" for k in keys.split(", "))
-        return f"""
+        return _named(f"""
 b{i} AS (SELECT {keys}, s{i}, sum(n) AS c FROM l{i - 1} GROUP BY {keys}, s{i}),
 h{i} AS (SELECT {keys}, sum(c) AS node_n, count(*) AS branches FROM b{i} GROUP BY {keys}),
 k{i} AS (SELECT {", ".join("b." + k for k in keys.split(", "))}, b.s{i}, CASE WHEN h.branches <= {MAX_BRANCHES} OR b.c * {SHARE_ONE_IN} >= h.node_n THEN b.s{i} ELSE '*' END AS g{i}
   FROM b{i} b JOIN h{i} h ON {on.format("b", "h")}),
-l{i} AS (SELECT l.*, k.g{i} FROM l{i - 1} l JOIN k{i} k ON {on.format("l", "k")} AND l.s{i} = k.s{i})"""
+l{i} AS (SELECT l.*, k.g{i} FROM l{i - 1} l JOIN k{i} k ON {on.format("l", "k")} AND l.s{i} = k.s{i})""")
 
-    return f"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
+    first = _named(f"""
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
 hosted AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM cut),
 parsed AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosted),
 judged AS (SELECT page_id, host, path, {rule} AS rule, {says} AS said, {d["digits"]} AS shape, length(path) - length(replace(path, '/', '')) AS slashes FROM parsed),
 cuts AS (SELECT page_id, host, path, rule, said, split_part(shape, '/', 2) AS s1, split_part(shape, '/', 3) AS s2, split_part(shape, '/', 4) AS s3, least(slashes, 4) AS depth FROM judged),
-l0 AS (SELECT host, s1, s2, s3, depth, count(*) AS n, count(said) AS labelled, count(CASE WHEN said = 'block' THEN 1 END) AS bad FROM cuts GROUP BY host, s1, s2, s3, depth),
-{level(1, "host")}, {level(2, "host, g1")}, {level(3, "host, g1, g2")},
+l0 AS (SELECT host, s1, s2, s3, depth, count(*) AS n, count(said) AS labelled, count(CASE WHEN said = 'block' THEN 1 END) AS bad FROM cuts GROUP BY host, s1, s2, s3, depth)""")
+    last = _named(f"""
 tree AS (SELECT host, g1, g2, g3, depth, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM l3 GROUP BY host, g1, g2, g3, depth),
 totals AS (SELECT host, g1, sum(n) AS total FROM tree GROUP BY host, g1),
 spread AS (SELECT t.host, t.g1, {d["listed"].format(item)} AS likeness FROM tree t JOIN totals s ON t.host = s.host AND t.g1 = s.g1 GROUP BY t.host, t.g1),
@@ -69,12 +77,40 @@ merged AS (SELECT t.host, p.likeness, t.g2, t.g3, t.depth, sum(t.n) AS n, sum(t.
   FROM tree t JOIN spread p ON t.host = p.host AND t.g1 = p.g1 GROUP BY t.host, p.likeness, t.g2, t.g3, t.depth),
 rejected AS (SELECT host, likeness, g2, g3, depth FROM merged WHERE labelled >= {MIN_LABELS} AND 2 * labelled >= n AND 10 * (bad + 1) >= {PURITY_TENTHS} * (labelled + 2)),
 refused AS (SELECT l.host, l.s1, l.s2, l.s3, l.depth, 1 AS hit FROM l3 l JOIN spread p ON l.host = p.host AND l.g1 = p.g1
-  JOIN rejected r ON r.host = l.host AND r.likeness = p.likeness AND r.g2 = l.g2 AND r.g3 = l.g3 AND r.depth = l.depth)
+  JOIN rejected r ON r.host = l.host AND r.likeness = p.likeness AND r.g2 = l.g2 AND r.g3 = l.g3 AND r.depth = l.depth)""")
+    final = """
 SELECT c.page_id, c.host, c.path, c.rule, coalesce(c.said, CASE WHEN r.hit = 1 THEN 'block' ELSE 'allow' END) AS verdict
 FROM cuts c LEFT JOIN refused r ON c.host = r.host AND c.s1 = r.s1 AND c.s2 = r.s2 AND c.s3 = r.s3 AND c.depth = r.depth
 """
+    return [*first, *level(1, "host"), *level(2, "host, g1"), *level(3, "host, g1, g2"), *last], final
+
+
+def _named(text: str) -> list[tuple[str, str]]:
+    """`name AS (query),` lines to pairs; a query goes on over lines that don't start with a name."""
+    out = []
+    for part in re.split(r"\n(?=\w+ AS \()", text.strip()):
+        name, query = part.split(" AS (", 1)
+        out.append((name, query.rstrip().rstrip(",")[:-1]))
+    return out
+
+
+def statement(dialect: str, pages: str, rules=RULES) -> str:
+    """All of it as one statement."""
+    parts, final = steps(dialect, pages, rules)
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts) + final
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule (null where none fits) and verdict of every row."""
-    return pages.sparkSession.sql(statement("spark", "{pages}", rules), pages=pages.select("page_id", "url"))
+    spark = pages.sparkSession
+    space = Workspace(spark, "urls")
+    tables: dict[str, DataFrame] = {"pages": pages.select("page_id", "url")}
+
+    def run(query: str) -> DataFrame:
+        used = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", query))
+        return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", query), **{n: tables[n] for n in used})
+
+    parts, final = steps("spark", "pages", rules)
+    for name, query in parts:
+        tables[name] = space.write(run(query), name) if name in WRITTEN else run(query)
+    return run(final)
