@@ -1,6 +1,6 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once by strong digest (SHA-256 and length), in WARC files of response records; record headers
+Payload bytes are stored once by strong digest (SHA-256 and length), in gzipped WARC files of response records; record headers
 are kept as they are, in WARC files of their own, whose revisit records carry no payload. Originals are rebuilt by joining the two by
 digest. Reading verifies every payload against both of its digests and every record against its length.
 
@@ -13,6 +13,7 @@ like those of a record: records are cut by Content-Length alone.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -32,15 +33,20 @@ def base32_sha1(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-_KEYED = "uid long, page_id long, url string, size long, sha string, digest string"
+_KEYED = "page_id long, url string, size long, sha string, digest string"
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [(h or "").encode("utf-8", "surrogatepass") for h in batch.column("html").to_pylist()]
-        return batch_of(_KEYED, [batch.column("uid"), batch.column("page_id"), batch.column("url"), [len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [base32_sha1(x) for x in raw]])
+        return batch_of(_KEYED, [batch.column("page_id"), batch.column("url"), [len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [base32_sha1(x) for x in raw]])
 
-    return map_rows(pages.select("uid", "page_id", "url", "html"), run, _KEYED)
+    return map_rows(pages.select("page_id", "url", "html"), run, _KEYED)
+
+
+def _row_key(sha):
+    """Equal for rows with equal page_id, url and payload alone."""
+    return F.sha2(F.concat_ws("\n", sha, F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "url"), F.lit("-"))).cast("binary"), 256)
 
 
 def _block(kind: str, digest, size) -> list:
@@ -56,27 +62,33 @@ def _block(kind: str, digest, size) -> list:
 
 def write_archive(pages: DataFrame, space: Workspace, min_bytes: int = MIN_BYTES) -> tuple[str, str]:
     """Writes a record for each row; returns the folders of response and revisit files."""
-    # written once: ids that tell rows apart, whatever happens to executors
-    rows = space.write(pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "html"), "rows")
-    keyed = space.write(_keyed(rows), "keyed")
+    # written once: ids that tell rows apart, whatever happens to executors; no payloads
+    keyed = space.write(_keyed(pages).withColumn("uid", F.monotonically_increasing_id()), "keyed")
     # pre-aggregated before the shuffle, so a payload of a third of all rows is no burden
     first = keyed.groupBy("sha", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")).alias("f"))
     first = first.select("sha", "size", F.col("f.uid").alias("first_uid"), F.col("f.page_id").alias("first_page"))
     judged = keyed.join(first, ["sha", "size"])
     single = (F.col("uid") == F.col("first_uid")) | (F.col("size") < min_bytes)
     judged = space.write(judged.withColumn("single", single), "judged")
-    # payloads of the responses only meet their html
-    stored = rows.select("uid", "html").join(judged.where("single"), "uid")
+    space.drop("keyed")
+    space.free()
+    # payloads of responses only meet their row; fully repeated rows give one record, in the same partition as the join
+    bodies = pages.select(_row_key(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).alias("row"), "html")
+    singles = judged.where("single").withColumn("row", _row_key(F.col("sha")))
+    if min_bytes > 0:  # repeated rows are all responses
+        bodies = bodies.groupBy("row").agg(F.first("html").alias("html"))
+        stored = bodies.join(singles.hint("merge"), "row")
+    else:
+        names = ["uid", "page_id", "url", "size", "sha", "digest"]
+        stored = bodies.join(singles.hint("merge"), "row").groupBy("row").agg(F.first("html").alias("html"), *[F.first(c).alias(c) for c in names])
     head = F.concat(*_block("response", F.col("digest"), F.col("size").cast("string")), F.lit("\r\n"))
     record = F.concat(head, F.coalesce("html", F.lit("")))
     # the text writer ends each record with the two line ends that the format asks for
-    written = dict(lineSep="\r\n\r\n", maxRecordsPerFile=FILE_RECORDS)
+    written = dict(lineSep="\r\n\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip")
     stored.select(record.alias("value")).write.options(**written).text(space.path("responses"))
     refers = F.concat(F.lit("WARC-Refers-To: <urn:scrivel:"), F.col("first_uid").cast("string"), F.lit(">\r\nX-Refers-To-Page: "), F.coalesce(F.col("first_page").cast("string"), F.lit("-")), F.lit("\r\n"))
     again = judged.where("NOT single").select(F.concat(*_block("revisit", F.col("digest"), F.lit("0")), refers, F.lit("\r\n")).alias("value"))
     again.write.options(**written).text(space.path("revisits"))
-    space.drop("keyed")
-    space.drop("rows")
     space.free()
     return space.path("responses"), space.path("revisits")
 
@@ -107,7 +119,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
         cols: list[list] = [[] for _ in range(10)]
         number = lambda x: None if x in (None, "-") else int(x)
         for raw in batch.column("content").to_pylist():
-            for head, payload in parse(raw):
+            for head, payload in parse(gzip.decompress(raw)):
                 h = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if x)
                 sha, digest, kind = h["X-Payload-SHA256"], h["WARC-Payload-Digest"][5:], h["WARC-Type"]
                 if kind == "response" and (hashlib.sha256(payload).hexdigest() != sha or base32_sha1(payload) != digest):
