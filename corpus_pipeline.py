@@ -33,9 +33,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii_semicrf.redact(docs)
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; documents that it doesn't take at all go."""
-    return mixing.mix(docs).where(F.col("taken") > 0)
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, mix_path: str | None = None) -> DataFrame:
+    """Writes the mix's shards and texts to mix_path, or to the shared folder, and returns how many words of each document
+    they hold; documents that the mix doesn't take at all go."""
+    return mixing.mix(docs, mix_path).where(F.col("taken") > 0)
 
 
 STAGES = [
@@ -50,9 +51,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, mix_path: str | None = None) -> DataFrame:
     space = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = space.write(stage(spark, docs, sf_dir), f"stage{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir, mix_path)

@@ -4,7 +4,12 @@ Each source's words form a stream, its documents in a pseudorandom order, packed
 source gets as many slots as its target needs. Slots fall on output shards at random, so the counts of the sources in
 a shard are a multinomial draw, given their totals; drawing shards independently would miss the targets by chance. Slot
 number j of a source takes block perm(j mod blocks) of pass j div blocks, where perm is a swap-or-not permutation keyed
-by source and pass, and blocks join documents by source and block index. No block is taken more than three times.
+by source and pass. The permutation is run backwards from the block to its slots, so blocks and slots meet without a
+table of slots. No block is taken more than three times.
+
+shards() returns the mix itself, a row for each slot with the text of its block; mix() writes these rows and counts in them
+what was taken of each document. Words keep the white space behind them (a document's first also what is ahead of it);
+where a block goes on with another document there is a line feed more.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at MAX_REPEATS
 times its source's size, and the excess goes to the others by weight. Everything is a built-in function. Running sums
@@ -29,6 +34,8 @@ SHARD_SLOTS = 8192
 #: rows of a bucket of running sums, on average at most
 BUCKET_ROWS = 20_000
 ROUNDS = 12
+#: a word with the white space behind it, a text's first also with what is ahead
+SPACED = r"(?:^[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*"
 SEED = 17
 
 
@@ -58,62 +65,111 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def permuted(i: Column, n: Column, *key: Column) -> Column:
-    """Where a keyed pseudorandom permutation of 0..n-1 sends i: swap-or-not, ROUNDS rounds."""
+def permuted(i: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """Where a keyed pseudorandom permutation of 0..n-1 sends i: swap-or-not, ROUNDS rounds. back: what it sends to i."""
 
     def swap(x: Column, r: Column) -> Column:
         partner = F.pmod(F.xxhash64(F.lit(SEED), *key, r).cast("long") - x, n)
         high = F.greatest(x, partner)
         return F.when(F.xxhash64(F.lit(SEED + 1), *key, r, high).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("long"), swap)
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, i.cast("long"), swap)
+
+
+def counted(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, mark (tells rows with equal doc_id apart) and further columns of docs."""
+    return docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("mark"), *more)
 
 
-def packed(sizes: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
-    """doc_id, source_no, size, start: the first word of each document in its source's stream (null for size 0)."""
+def packed(rows: DataFrame, sizes: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
+    """The rows with source_no instead of source, and start: the first word of each document in its source's stream (null
+    for size 0). sizes: the same rows, for the sums."""
     buckets = 1 << max(0, (n_rows // BUCKET_ROWS)).bit_length()
-    rows = sizes.join(sources.select("source", "source_no"), sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.join(sources.select("source", "source_no"), df["source"].eqNullSafe(sources["source"])).drop("source")
+        return df.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+
+    sums = placed(sizes).groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    inner = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inner)).join(sums.hint("merge"), ["source_no", "bucket"])
+    inner = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed(rows).withColumn("upto", F.sum("size").over(inner)).join(sums.hint("merge"), ["source_no", "bucket"])
     start = F.when(F.col("size") > 0, F.col("first") + F.col("upto") - F.col("size"))
-    return rows.select("doc_id", "source_no", "size", start.alias("start"))
+    return rows.withColumn("start", start).drop("h", "bucket", "upto", "first", "mark")
 
 
-def slots(sources: DataFrame) -> DataFrame:
-    """source_no, slot, shard, block: what each slot of the mix takes."""
+def draws(sources: DataFrame) -> DataFrame:
+    """source_no, source, blocks, slots, shards: what there is of each source, what it gets, and the shards of the mix."""
     blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     rows = sources.where("source_size > 0").withColumn("blocks", blocks)
     want = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
     rows = rows.withColumn("slots", F.least(want, F.col("blocks") * MAX_REPEATS))
-    # in two steps, so that the slots of a hot source are made by many tasks
-    rows = rows.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)).where("slots > 0")
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 10_000))))
-    # a stated number of partitions: sizes of shuffled rows say nothing about how many slots they become
-    rows = rows.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "part")
-    first = F.col("part") * 10_000
-    rows = rows.withColumn("slot", F.explode(F.sequence(first, F.least(first + 9_999, F.col("slots") - 1))))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), turn)
-    shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.greatest("shards", F.lit(1)))
-    return rows.select("source_no", "slot", shard.alias("shard"), block.alias("block"))
-
-
-def mix(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size, source_size, target and taken (words that the mix takes, repeats counted)."""
+    shards = F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)
+    return rows.select("source_no", "source", "blocks", "slots", F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
+
+
+def assembled(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """shard, slot, source, source_no, block, text, parts (start and number of words of each document in the block)."""
+    # the words twice in the next step, else the optimizer would move their search into the loop over blocks
+    rows = rows.where("size > 0").select("source_no", "start", "size", F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)).alias("list"))
+    first = F.col("start") - F.pmod("start", F.lit(BLOCK_WORDS))
+    ends = F.col("start") + F.size("list")
+
+    def piece(at: Column) -> Column:
+        low, high = F.greatest("start", at), F.least(ends, at + BLOCK_WORDS)
+        cut = F.slice("list", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(F.floor(at / BLOCK_WORDS).alias("block"), (high - low).alias("words"), F.array_join(cut, "").alias("text"))
+
+    pieces = F.transform(F.sequence(first, ends - 1, F.lit(BLOCK_WORDS).cast("long")), piece)
+    rows = rows.select("source_no", "start", F.inline(pieces)).join(draws(sources), "source_no").where("slots > 0")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("blocks")))))
+    slot = F.col("turn") * F.col("blocks") + permuted(F.col("block"), F.col("blocks"), F.col("source_no"), F.col("turn"), back=True)
+    rows = rows.withColumn("slot", slot).where("slot < slots")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.col("shards")))
+    part = F.struct("start", "words", "text")
+    rows = rows.select("shard", "slot", "source", "source_no", "block", part.alias("part")).repartition("shard")
+    rows = rows.groupBy("shard", "source_no", "slot").agg(F.first("source").alias("source"), F.first("block").alias("block"), F.sort_array(F.collect_list("part")).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
+    parts = F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["words"].alias("words")))
+    rows = rows.select("shard", "slot", "source", "source_no", "block", text.alias("text"), parts.alias("parts"))
+    return rows.sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 3), "source_no", "slot"))
+
+
+def _mixed(docs: DataFrame, path: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places of the documents, sources, and the mix, which is written to path, or to a folder of its own."""
     space = Workspace(docs.sparkSession, "mixing")
-    sizes = space.write(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    sizes = space.write(counted(docs), "sizes")
     sources = space.write(targets(sizes), "sources")
-    rows = space.write(packed(sizes, sources, sizes.count()), "packed")
-    ends = F.col("start") + F.col("size")
-    parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((ends - 1) / BLOCK_WORDS))))
-    words = F.least(ends, (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("start", F.col("block") * BLOCK_WORDS)
-    parts = parts.select("source_no", "block", "start", words.alias("words"))
-    times = slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    # none of these sides has a bounded size, so they are merged, never broadcast
-    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # texts are written in between, so that the shuffle files of one step are gone before the next
+    n_rows, conf, key = sizes.count(), docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        rows = space.write(packed(counted(docs, "text"), sizes, sources, n_rows), "packed")
+    finally:
+        conf.set(key, before)
+    space.free()
+    mixed = assembled(rows, sources)
+    if path:
+        mixed.write.option("compression", "zstd").parquet(path)
+        mixed = docs.sparkSession.read.schema(mixed.schema).parquet(path)
+    else:
+        mixed = space.write(mixed, "mixed")
+    space.free()
+    return rows, sources, mixed
+
+
+def shards(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The mix: shard, slot, source, source_no, block, text, parts. A shard's rows are together, in pseudorandom order."""
+    return _mixed(docs, path)[2]
+
+
+def mix(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Per row: doc_id, size, source_size, target and taken (words of it in the written mix, repeats counted)."""
+    rows, sources, mixed = _mixed(docs, path)
+    taken = mixed.select("source_no", F.inline("parts")).groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    # neither side has a bounded size, so they are merged, never broadcast
     out = rows.join(taken.hint("merge"), ["source_no", "start"], "left").join(sources, "source_no")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

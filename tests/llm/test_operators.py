@@ -306,6 +306,33 @@ def test_mixing(docs, rows):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mix_has_the_texts_of_its_blocks(spark, docs, rows, tmp_path):
+    got = mixing.mix(docs, str(tmp_path / "mix")).collect()
+    mixed = spark.read.parquet(str(tmp_path / "mix")).collect()
+    assert sum(len(ws(r.text)) for r in mixed) == sum(p.words for r in mixed for p in r.parts) == sum(r.taken for r in got) > 0
+    assert Counter(map(str, mixed)) == Counter(map(str, mixing.shards(docs).collect()))
+    texts = {r.source: "\n".join(t.text or "" for t in rows if t.source == r.source) for r in mixed}
+    assert all(x in texts[r.source] for r in mixed if len(r.parts) == 1 for x in [r.text])
+    # every slot of a source once; blocks of a pass are a permutation
+    for d in mixing.draws(mixing.targets(mixing.counted(docs))).collect():
+        own = [r for r in mixed if r.source_no == d.source_no]
+        assert sorted(r.slot for r in own) == list(range(d.slots)) and all(r.source == d.source for r in own)
+        assert all(n <= 1 for n in Counter((r.block, r.slot // d.blocks) for r in own).values())
+
+
+def test_slots_fall_on_all_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 20)
+    mixed = mixing.shards(docs).collect()
+    n = Counter(r.shard for r in mixed)
+    assert len(n) == -(-len(mixed) // 20) > 5 and max(n.values()) < 60
+
+
+def test_permutation_runs_backwards(spark):
+    n = F.lit(100)
+    there = mixing.permuted(F.col("id"), n, F.lit(3), F.lit(1))
+    assert all(r.id == r.b for r in spark.range(100).select("id", mixing.permuted(there, n, F.lit(3), F.lit(1), back=True).alias("b")).collect())
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(0)).alias("p")).collect()
