@@ -2,8 +2,8 @@
 
 The field scores whole candidate segments of up to MAX_SEGMENT tokens by features of the span as a unit (its shape, digit
 count, checksum, the word before it), and one dynamic programme over segments chooses boundaries and types together.
-A segment can only be an entity if it holds a trigger token (one with a digit, an @, a + or 16 capitals in
-a row), so the best labelling of a text falls apart into islands around triggers and the rest stays unlabelled at no
+A segment can only be an entity if it holds a trigger token (one with a digit, an @, a +, 16 capitals in a row, a
+bracketed at or dot, a word such as password, or the head of a key or of a letters-only address) or follows such a word, so the best labelling of a text falls apart into islands around triggers and the rest stays unlabelled at no
 cost: this is exact, not a cut. The weights maximise the conditional likelihood of generated sentences.
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole; repeated rows are judged one by one;
@@ -71,7 +71,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the field -----------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@+]|[A-Z]{16}")
+_TRIGGER = re.compile(r"[0-9@+]|[A-Z]{16}|[\[(](?:[aA][tT]|[dD][oO][tT])[\])]|gh[pousr]_|sk-|(?:[a-fA-F]{1,4}:){4}|(?i:passw|pwd|secret|token|api[_-]?key|access[_-]?key)")
+_AT_MARK = re.compile(r"(?i)[\[(]at[\])]")
+_SPLIT = re.compile(r"[\s=:]+")
 _SPACE = re.compile(r"\s")
 _EDGE = ".,;:!?\"'()[]<>"
 _SECRET_CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]?\s*[\"']?$")
@@ -84,7 +86,7 @@ _KEY_LIKE = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0
 _HEXRUN = re.compile(r"[0-9a-fA-F]{16,}")
 _IDENT_LIKE = re.compile(r"\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?")
 _ASSIGN = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?")
-FEATURES = 30
+FEATURES = 33
 
 
 def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
@@ -93,7 +95,7 @@ def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
     out = [0, min(n_tokens, 5)]
     on = lambda i, yes: out.append(i) if yes else None
     on(6, _MAIL_LIKE.fullmatch(span))
-    on(7, _AT_LIKE.fullmatch(span))
+    on(7, _AT_MARK.search(span) and _AT_LIKE.fullmatch(span))
     on(8, _IP_LIKE.fullmatch(span))
     numeric = bool(_NUMERIC.fullmatch(span)) and digits > 0
     on(9, numeric and span[0] == "+" and 9 <= digits <= 15)
@@ -105,8 +107,9 @@ def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
     on(13, _KEY_LIKE.fullmatch(span))
     on(14, _HEXRUN.fullmatch(span) and digits >= 4 and not numeric)
     on(15, _IDENT_LIKE.fullmatch(span))
-    on(16, _ASSIGN.fullmatch(span))
-    on(17, _SECRET_CUE.search(before))
+    assign, cue = _ASSIGN.fullmatch(span), _SECRET_CUE.search(before)
+    on(16, assign)
+    on(17, cue)
     on(18, _IDENT_CUE.search(before))
     on(19, digits == 0)
     on(20, 1 <= digits <= 4)
@@ -119,6 +122,10 @@ def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
     on(27, bool(re.search(r"[^0-9a-fA-F]", span)) and len(span) >= 16 and digits >= 3 and n_tokens == 1 and span.isalnum())
     on(28, numeric and digits < 7)
     on(29, n_tokens > 1 and not numeric)
+    if digits == 0 and (assign or cue):
+        on(30, assign and "=" in span)
+        on(31, n_tokens <= 3 and len(_SPLIT.split(span.strip("\"'"))[-1]) >= 10)
+        on(32, assign)
     return out
 
 
@@ -157,9 +164,10 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
     """(first token, end token, start, end, features) of every segment of an island that may be an entity."""
     out = []
     hot = [bool(_TRIGGER.search(text[s:e])) for s, e in tokens]
+    cued = [bool(_SECRET_CUE.search(text[max(0, s - 24) : s])) for s, _ in tokens]
     for i in range(len(tokens)):
         for j in range(i + 1, min(len(tokens), i + MAX_SEGMENT) + 1):
-            if not any(hot[i:j]) or tokens[j - 1][1] - tokens[i][0] > 400 or "\n" in text[tokens[i][0] : tokens[j - 1][1]]:
+            if not (any(hot[i:j]) or cued[i]) or tokens[j - 1][1] - tokens[i][0] > 400 or "\n" in text[tokens[i][0] : tokens[j - 1][1]]:
                 continue
             start, end = tokens[i][0], tokens[j - 1][1]
             while end > start and text[end - 1] in _EDGE and not (text[end - 1] == '"' and "=" in text[start:end]):
@@ -200,6 +208,8 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     word = lambda: "".join(rng.choice("abdeghinorstu") for _ in range(rng.randint(2, 9)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
 
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
     def card() -> str:
         head = "4" + num(14)
         return next(head + d for d in "0123456789" if luhn(head + d))
@@ -207,7 +217,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     def entity() -> tuple[int, str]:
         kind = rng.randrange(6)
         if kind == 0:
-            return 0, rng.choice([f"{word()}.{num(2)}@{word()}{rng.randint(0, 9)}.com", f"{word()}@{word()}.org", f"{word()} [at] {word()}{num(1)} [dot] com", f"{word()}ü{num(1)}@{word()}.de"])
+            return 0, rng.choice([f"{word()}.{num(2)}@{word()}{rng.randint(0, 9)}.com", f"{word()}@{word()}.org", f"{word()} [at] {word()}{num(1)} [dot] com", f"{word()} {rng.choice(('[at]', '(at)'))} {word()} {rng.choice(('[dot]', '(dot)'))} com", f"{word()}ü{num(1)}@{word()}.de"])
         if kind == 1:
             return 1, rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(f"{rng.randrange(16, 65536):x}" for _ in range(8))])
         if kind == 2:
@@ -218,11 +228,11 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         if kind == 4:
             h = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(18, 40)))
             key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
-            return 4, rng.choice([f"password={h}", f'token = "{h}"', key, f"api_key: {h}", f"ghp_{h}{h}"])
+            return 4, rng.choice([f"password={h}", f'token = "{h}"', key, f"api_key: {h}", f"ghp_{h}{h}", f"password={word()}{word()}{word()}", f"api_key: {letters(20)}", f"token = {letters(16)}", f"ghp_{letters(30)}"])
         return 5, rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"GB{num(2)} ABCD {num(4)} {num(4)} {num(4)}"])
 
     def plain() -> str:
-        return rng.choice([word(), word(), word() + ",", word().title(), num(rng.randint(1, 4)), f"{word()}.{num(1)}", f"v{num(1)}.{num(1)}", f"https://{word()}.com/{num(3)}", f"{num(1)}.{num(1)}.", num(rng.randint(13, 16)) if rng.random() < 0.2 else word(), f"CC-{num(1)}.0", f"{num(4)}-{num(2)}-{num(2)}"])
+        return rng.choice([word(), word(), word() + ",", word().title(), f"{rng.choice(('secret', 'token', 'password', 'Secret:', 'tokens'))} {word()}", num(rng.randint(1, 4)), f"{word()}.{num(1)}", f"v{num(1)}.{num(1)}", f"https://{word()}.com/{num(3)}", f"{num(1)}.{num(1)}.", num(rng.randint(13, 16)) if rng.random() < 0.2 else word(), f"CC-{num(1)}.0", f"{num(4)}-{num(2)}-{num(2)}"])
 
     text, found = "", []
     for _ in range(rng.randint(6, 14)):
