@@ -17,6 +17,7 @@ import random
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from scrivel.llm.common import batch_of, map_rows, small_batches
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: types of the field; the first four also name base patterns
 KINDS = (*BASE_KINDS, "secret", "ident")
-MAX_SEGMENT = 5
+#: tokens of the longest printed account number
+MAX_SEGMENT = 9
 
 # Runs are taken whole, with the rest of the pattern optional, so that long runs cost linear time; a run that the rest
 # doesn't follow holds no match at any of its starts.
@@ -86,7 +88,7 @@ _KEY_LIKE = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0
 _HEXRUN = re.compile(r"[0-9a-fA-F]{16,}")
 _IDENT_LIKE = re.compile(r"\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?")
 _ASSIGN = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?")
-FEATURES = 33
+FEATURES = 37
 
 
 def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
@@ -95,7 +97,8 @@ def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
     out = [0, min(n_tokens, 5)]
     on = lambda i, yes: out.append(i) if yes else None
     on(6, _MAIL_LIKE.fullmatch(span))
-    on(7, _AT_MARK.search(span) and _AT_LIKE.fullmatch(span))
+    spelled = _AT_MARK.search(span) and _AT_LIKE.fullmatch(span)
+    on(7, spelled)
     on(8, _IP_LIKE.fullmatch(span))
     numeric = bool(_NUMERIC.fullmatch(span)) and digits > 0
     on(9, numeric and span[0] == "+" and 9 <= digits <= 15)
@@ -106,7 +109,10 @@ def segment_features(span: str, before: str, n_tokens: int) -> list[int]:
     on(12, card and not (plain.isascii() and luhn(plain)))
     on(13, _KEY_LIKE.fullmatch(span))
     on(14, _HEXRUN.fullmatch(span) and digits >= 4 and not numeric)
-    on(15, _IDENT_LIKE.fullmatch(span))
+    ident = _IDENT_LIKE.fullmatch(span)
+    on(15, ident)
+    if ident or spelled:  # else the first groups alone would score as much
+        out += range(33, 33 + min(n_tokens, 9) - 5)
     assign, cue = _ASSIGN.fullmatch(span), _SECRET_CUE.search(before)
     on(16, assign)
     on(17, cue)
@@ -143,14 +149,20 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
     groups: list[list[tuple[int, int]]] = []
     for start, end in marks:
         # tokens to the left and right that a segment holding this trigger can reach
-        left = [m.span() for m in _TOKEN.finditer(text, max(0, start - 200), start)][-(MAX_SEGMENT - 1) :]
-        if left and left[0][0] > 0 and not text[left[0][0] - 1].isspace():
-            left = left[1:]
-        right = []
-        for m in _TOKEN.finditer(text, end, min(len(text), end + 200)):
-            if len(right) == MAX_SEGMENT - 1 or m.end() == end + 200 < len(text):
+        left, at = [], start
+        while len(left) < MAX_SEGMENT - 1:
+            stop = at
+            while stop and text[stop - 1] != "\n" and text[stop - 1].isspace():
+                stop -= 1
+            if not stop or text[stop - 1] == "\n":  # no entity has a line feed
                 break
-            right.append(m.span())
+            at = stop
+            while at and not text[at - 1].isspace():
+                at -= 1
+            left.append((at, stop))
+        left.reverse()
+        line = text.find("\n", end)
+        right = [m.span() for m in islice(_TOKEN.finditer(text, end, line if line >= 0 else len(text)), MAX_SEGMENT - 1)]
         tokens = [*left, (start, end), *right]
         if groups and tokens[0][0] <= groups[-1][-1][1]:
             last = groups[-1][-1][0]
@@ -167,7 +179,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
     cued = [bool(_SECRET_CUE.search(text[max(0, s - 24) : s])) for s, _ in tokens]
     for i in range(len(tokens)):
         for j in range(i + 1, min(len(tokens), i + MAX_SEGMENT) + 1):
-            if not (any(hot[i:j]) or cued[i]) or tokens[j - 1][1] - tokens[i][0] > 400 or "\n" in text[tokens[i][0] : tokens[j - 1][1]]:
+            if not (any(hot[i:j]) or cued[i]) or "\n" in text[tokens[i][0] : tokens[j - 1][1]]:
                 continue
             start, end = tokens[i][0], tokens[j - 1][1]
             while end > start and text[end - 1] in _EDGE and not (text[end - 1] == '"' and "=" in text[start:end]):
@@ -217,7 +229,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     def entity() -> tuple[int, str]:
         kind = rng.randrange(6)
         if kind == 0:
-            return 0, rng.choice([f"{word()}.{num(2)}@{word()}{rng.randint(0, 9)}.com", f"{word()}@{word()}.org", f"{word()} [at] {word()}{num(1)} [dot] com", f"{word()} {rng.choice(('[at]', '(at)'))} {word()} {rng.choice(('[dot]', '(dot)'))} com", f"{word()}ü{num(1)}@{word()}.de"])
+            return 0, rng.choice([f"{word()}.{num(2)}@{word()}{rng.randint(0, 9)}.com", f"{word()}@{word()}.org", f"{word()} [at] {word()}{num(1)} [dot] com", f"{word()} {rng.choice(('[at]', '(at)'))} {word()} {rng.choice(('[dot]', '(dot)'))} com", f"{word()} [at] {word()} [dot] {word()}{num(1)} [dot] com", f"{word()}ü{num(1)}@{word()}.de"])
         if kind == 1:
             return 1, rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(f"{rng.randrange(16, 65536):x}" for _ in range(8))])
         if kind == 2:
@@ -229,7 +241,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             h = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(18, 40)))
             key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
             return 4, rng.choice([f"password={h}", f'token = "{h}"', key, f"api_key: {h}", f"ghp_{h}{h}", f"password={word()}{word()}{word()}", f"api_key: {letters(20)}", f"token = {letters(16)}", f"ghp_{letters(30)}"])
-        return 5, rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"GB{num(2)} ABCD {num(4)} {num(4)} {num(4)}"])
+        return 5, rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"GB{num(2)} ABCD {num(4)} {num(4)} {num(4)}", f"GB{num(2)} ABCD {num(4)} {num(4)} {num(4)} {num(2)}", f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", f"FR{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(4)} {num(3)}", " ".join([f"MT{num(2)}", *(num(4) for _ in range(rng.randint(6, 7))), num(rng.randint(1, 3))])])
 
     def plain() -> str:
         return rng.choice([word(), word(), word() + ",", word().title(), f"{rng.choice(('secret', 'token', 'password', 'Secret:', 'tokens'))} {word()}", num(rng.randint(1, 4)), f"{word()}.{num(1)}", f"v{num(1)}.{num(1)}", f"https://{word()}.com/{num(3)}", f"{num(1)}.{num(1)}.", num(rng.randint(13, 16)) if rng.random() < 0.2 else word(), f"CC-{num(1)}.0", f"{num(4)}-{num(2)}-{num(2)}"])

@@ -16,3 +16,8 @@ def test_spans_of_letters_only(span):
 
 def test_words_after_cues_stay():
     assert found("the secret garden, a token of thanks, and forgot the password again") == []
+
+
+@pytest.mark.parametrize("span", ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3026 606", "anna [at] mail [dot] b2 [dot] com", "password=" + "a1b2" * 150, "sk-" + "Ab3" * 200, "secret: " + "0123456789abcdef" * 40, "MT84 1234 1234 1234 1234 1234 1234 1234 123"])
+def test_long_spans_are_whole(span):
+    assert found(f"please write {span} today") == [span]
