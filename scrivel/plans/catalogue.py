@@ -277,8 +277,10 @@ def bloom_bits(spark, sf_dir):
 @query(f"""WITH seen AS (SELECT DISTINCT {_BITS.format(n=4096)} AS bit FROM pages WHERE page_id % 2 = 0),
 asked AS (SELECT url, {_BITS.format(n=4096)} AS bit FROM pages) SELECT DISTINCT url FROM asked WHERE bit NOT IN (SELECT bit FROM seen)""")
 def bloom_dedup(spark, sf_dir):
+    """The oracle's 4096 bits are the least; beyond 512 urls the filter has the reference's 8 bits for each."""
     pages = table(spark, sf_dir, "pages")
-    return crawl.bloom_unseen(pages, crawl.bloom_filter(pages.where("page_id % 2 = 0"), 4096), 4096)
+    n_bits = max(4096, 8 * pages.count())
+    return crawl.bloom_unseen(pages, crawl.bloom_filter(pages.where("page_id % 2 = 0"), n_bits), n_bits)
 
 
 _EDGES = f"edges AS (SELECT DISTINCT {_HOST} AS src, 'lang:' || regexp_extract(html, '<html lang=\"(..)\"', 1) AS dst FROM pages), both_ways AS (SELECT * FROM edges UNION SELECT dst, src FROM edges)"
