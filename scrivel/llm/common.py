@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +19,20 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a master on one machine (local) gets a folder of its own; a cluster gets an error, as a folder
+    of one machine would be lost with it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scrivel-")
+        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -53,17 +62,18 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Shortens Arrow batches, as one row may hold a text of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of at most so many rows, so that what is made of one batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of a function from batch to batch (None: nothing to emit)."""
-    small_batches(df.sparkSession)
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow of a function from batch to batch (None: nothing to emit), over batches of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, rows):
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
@@ -90,6 +100,28 @@ ARROW = {
 }
 
 
+#: a key is heavy when it has over one in so many rows; there are at most so many heavy keys, so they can be broadcast
+HEAVY_ONE_IN = 10_000
+SALTS = 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """big joined with small, which has one row for each key; rows of heavy keys are spread over SALTS tasks.
+
+    counts: the written (keys..., k), how many rows of big each key has. Only rows of small with a heavy key are
+    repeated, and the list of heavy keys has at most HEAVY_ONE_IN rows whatever the input. Null keys match nothing.
+    """
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    heavy = counts.where(F.col("k") * HEAVY_ONE_IN > max(total, HEAVY_ONE_IN * 1000)).select(*keys, F.lit(True).alias("_hot"))
+    if not heavy.limit(1).count():
+        return big.join(small, keys, how)
+    at = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    left = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_hot"), at).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

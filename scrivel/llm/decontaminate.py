@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, small_batches
+from scrivel.llm.common import Workspace, batch_of, short
 
 WINDOW = 10
 #: words of one automaton; a larger benchmark is cut into several, applied one after another
@@ -196,7 +196,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     Each block of items has its own automaton, of a bounded size, and its own pass, with a written table between passes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_words bigint, " + _FOUND
     out, space = None, None
@@ -222,7 +221,7 @@ def _pass(docs: DataFrame, names: list[str], schema: str, sent, again: bool) ->
             _KEPT.clear()
             _KEPT[token] = Automaton(*sent.value)
         machine = _KEPT[token]
-        for batch in batches:
+        for batch in short(batches):
             n_words, hits, ids = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = words_of(text)
@@ -284,7 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts, keep = [], []
             for text, n, hits in zip(batch.column("text").to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_hits").to_pylist()):
                 ranges = list(zip(hits[::2], hits[1::2]))

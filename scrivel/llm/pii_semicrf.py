@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scrivel.llm.common import batch_of, map_rows, small_batches
+from scrivel.llm.common import batch_of, map_rows, short
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: types of the field; the first four also name base patterns
@@ -373,10 +373,9 @@ def detect(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, with personal data in text replaced by <KIND> and n_chars counted anew. Null stays null."""
     w, names, small = weights(), docs.columns, docs.schema
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts = [t if not t else masked(t, find(t, w)[1]) for t in batch.column("text").to_pylist()]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import batch_of, map_rows, small_batches
+from scrivel.llm.common import batch_of, map_rows, short
 
 WORDS = 1 << 15
 RANK = 8
@@ -195,11 +195,10 @@ def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
 
     def run(batches):
         model = Machine(*sent.value)
-        for batch in batches:
+        for batch in short(batches):
             score = [model.score(*features(t, n, known)) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, "_fm_score"])
 
-    small_batches(docs.sparkSession)
     return docs.select(*columns).mapInArrow(run, schema)
 
 

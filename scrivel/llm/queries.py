@@ -57,6 +57,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op4_url_templates": url_templates.statement("duckdb", "pages"),
+    "op4_url_templates": url_templates.ORACLE_SQL,
     "op9_chat_rotation": chat_format.ORACLE_SQL,
 }

@@ -336,7 +336,6 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = close.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("first").alias("first"), F.first("windows").alias("windows"), F.first("lead").alias("lead"))
     suffixes = space.write(fetched(one, rows), "suffixes")
     space.free()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     found = space.write(repeated(suffixes), "found")
     space.drop("suffixes")
     space.free()

@@ -130,7 +130,6 @@ def read_archive(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
         return batch_of(_READ, cols)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a file is a row
 
     def each(batches):
         for batch in batches:

@@ -167,7 +167,7 @@ def test_urls(spark):
     assert (8, "xnet", "/es/", None, "allow") in got and (9, "u@h.com:80", "/", None, "allow") in got and (10, "b.net", "", None, "allow") in got
     con = duckdb.connect()
     con.register("pages", pages.select("page_id", "url").toPandas().astype({"page_id": "Int64"}))
-    assert set(con.sql(url_templates.statement("duckdb", "pages")).fetchall()) == got
+    assert set(con.sql(url_templates.ORACLE_SQL).fetchall()) == got
     assert url_templates.filter_urls(empty(pages)).count() == 0
 
 
