@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
 Each source's words form a stream, its documents in a pseudorandom order, packed into blocks of BLOCK_WORDS words. A
-source gets as many slots as its target needs. Slots fall on output shards at random, so the counts of the sources in
-a shard are a multinomial draw, given their totals; drawing shards independently would miss the targets by chance. Slot
-number j of a source takes block perm(j mod blocks) of pass j div blocks, where perm is a swap-or-not permutation keyed
-by source and pass. The permutation is run backwards from the block to its slots, so blocks and slots meet without a
-table of slots. No block is taken more than three times.
+source gets as many slots as its target needs, and its last slot is cut to the words that are still wanted, so it gives
+its target to the word, also where it is smaller than a block. Each slot draws its output shard uniformly: the counts of
+a shard's sources are a multinomial draw given the sources' totals (shard_counts() returns them); shards drawn without
+regard to the totals would miss the targets by chance. Slot number j of a source takes block perm(j mod blocks) of pass
+j div blocks, where perm is a swap-or-not permutation keyed by source and pass. The permutation is run backwards from the
+block to its slots, so blocks and slots meet by index without a table of slots. No block is taken more than three times.
 
 shards() returns the mix itself, a row for each slot with the text of its block; mix() writes these rows and counts in them
 what was taken of each document. Words keep the white space behind them (a document's first also what is ahead of it);
@@ -101,13 +102,43 @@ def packed(rows: DataFrame, sizes: DataFrame, sources: DataFrame, n_rows: int) -
 
 
 def draws(sources: DataFrame) -> DataFrame:
-    """source_no, source, blocks, slots, shards: what there is of each source, what it gets, and the shards of the mix."""
-    blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
-    rows = sources.where("source_size > 0").withColumn("blocks", blocks)
-    want = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
-    rows = rows.withColumn("slots", F.least(want, F.col("blocks") * MAX_REPEATS))
+    """source_no, source, blocks, slots, last_words, shards: what there is of each source, what it gets (last_words: the
+    words of its last slot), and the shards of the mix.
+
+    A source gives whole passes first. Of the next pass it gives so many slots as the words left need; all blocks have
+    BLOCK_WORDS words but the stream's last, whose slot in that pass the permutation tells.
+    """
+    rows = sources.where("source_size > 0").withColumns({
+        "blocks": F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long"), "want": F.round("target").cast("long"),
+    })
+    rows = rows.withColumn("passes", F.floor(F.col("want") / F.col("source_size")).cast("long"))
+    rows = rows.withColumns({
+        "left": F.col("want") - F.col("passes") * F.col("source_size"),
+        "tail": F.col("source_size") - (F.col("blocks") - 1) * BLOCK_WORDS,
+        "tail_at": permuted(F.col("blocks") - 1, F.col("blocks"), F.col("source_no"), F.col("passes"), back=True),
+    })
+    # words of the first k slots of the pass: k blocks, less what the tail lacks once it is among them
+    short = F.lit(BLOCK_WORDS) - F.col("tail")
+    plain = F.ceil(F.col("left") / BLOCK_WORDS).cast("long")
+    more = F.when(plain <= F.col("tail_at"), plain).otherwise(F.ceil((F.col("left") + short) / BLOCK_WORDS).cast("long"))
+    # with the tail as the last slot wanted, that slot has tail words only
+    more = F.when((F.col("left") > F.col("tail_at") * BLOCK_WORDS) & (F.col("left") <= F.col("tail_at") * BLOCK_WORDS + F.col("tail")), F.col("tail_at") + 1).otherwise(more)
+    rows = rows.withColumn("more", F.when(F.col("left") > 0, more).otherwise(0))
+    before = (F.col("more") - 1) * BLOCK_WORDS - F.when(F.col("tail_at") < F.col("more") - 1, short).otherwise(0)
+    rows = rows.withColumns({"slots": F.col("passes") * F.col("blocks") + F.col("more"), "last_words": F.when(F.col("left") > 0, F.col("left") - before).otherwise(BLOCK_WORDS)})
     shards = F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)
-    return rows.select("source_no", "source", "blocks", "slots", F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
+    return rows.select("source_no", "source", "blocks", "slots", F.col("last_words").cast("long").alias("last_words"), F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
+
+
+def shard_of() -> Column:
+    """The shard that slot number slot of a source draws."""
+    return F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.col("shards"))
+
+
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """shard, source_no, slots: the draw, how many slots of each source each shard gets."""
+    slots = draws(sources).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    return slots.select(shard_of().alias("shard"), "source_no").groupBy("shard", "source_no").agg(F.count("*").alias("slots"))
 
 
 def assembled(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -120,15 +151,18 @@ def assembled(rows: DataFrame, sources: DataFrame) -> DataFrame:
     def piece(at: Column) -> Column:
         low, high = F.greatest("start", at), F.least(ends, at + BLOCK_WORDS)
         cut = F.slice("list", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-        return F.struct(F.floor(at / BLOCK_WORDS).alias("block"), (high - low).alias("words"), F.array_join(cut, "").alias("text"))
+        return F.struct(F.floor(at / BLOCK_WORDS).alias("block"), (low - at).alias("ahead"), (high - low).alias("words"), cut.alias("cut"))
 
     pieces = F.transform(F.sequence(first, ends - 1, F.lit(BLOCK_WORDS).cast("long")), piece)
     rows = rows.select("source_no", "start", F.inline(pieces)).join(draws(sources), "source_no").where("slots > 0")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("blocks")))))
     slot = F.col("turn") * F.col("blocks") + permuted(F.col("block"), F.col("blocks"), F.col("source_no"), F.col("turn"), back=True)
-    rows = rows.withColumn("slot", slot).where("slot < slots")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.col("shards")))
-    part = F.struct("start", "words", "text")
+    rows = rows.withColumn("slot", slot).where("slot < slots").withColumn("shard", shard_of())
+    # the last slot of a source is cut to the words that are still wanted
+    left = F.when(F.col("slot") == F.col("slots") - 1, F.greatest(F.col("last_words") - F.col("ahead"), F.lit(0))).otherwise(F.col("words"))
+    rows = rows.withColumn("words", F.least("words", left)).where("words > 0")
+    text = F.array_join(F.when(F.col("words") < F.size("cut"), F.slice("cut", F.lit(1), F.col("words").cast("int"))).otherwise(F.col("cut")), "")
+    part = F.struct("start", "words", text.alias("text"))
     rows = rows.select("shard", "slot", "source", "source_no", "block", part.alias("part")).repartition("shard")
     rows = rows.groupBy("shard", "source_no", "slot").agg(F.first("source").alias("source"), F.first("block").alias("block"), F.sort_array(F.collect_list("part")).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
