@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import shutil
@@ -42,6 +43,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._ended)
+
+    def _ended(self) -> None:
+        """Results read the tables, so they stay as long as the program runs, and no longer."""
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.clear()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,9 +60,13 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def clear(self) -> None:
+        """Deletes all of it, once nothing that was made from it is read any more."""
+        self.drop("")
+
     def free(self) -> None:
         """Lets Spark delete the shuffle files of steps whose result is written."""
         gc.collect()
@@ -126,5 +137,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened where a table has them already."""
+    have = {n.lower() for n in names}
+    return [next(w + "_" * k for k in range(len(have) + 1) if (w + "_" * k).lower() not in have) for w in wanted]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, short
+from scrivel.llm.common import Workspace, short, unused
 
 WINDOW = 10
 #: words of one automaton; a larger benchmark is cut into several, applied one after another
@@ -50,27 +50,29 @@ class Automaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
+        by_length = sorted(range(1, len(self.len)), key=self.len.__getitem__)  # a link leads to a shorter state
+        #: for each state the one on its chain of links whose lengths include the window, 0 for none
+        self.wide = array("l", bytes(array("l").itemsize * len(self.len)))
+        for state in by_length:
+            if self.len[state] >= window:
+                self.wide[state] = state if self.len[self.link[state]] < window else self.wide[self.link[state]]
         for item, words in items:
             if 0 < len(words) < window:
                 state = self._walk(words)
                 self.items.setdefault((state, len(words)), set()).add(item)
                 self.short.setdefault(state, set()).add(len(words))
             elif words:
-                for state in self._window_states(words):
-                    self.items.setdefault((state, window), set()).add(item)
-        #: for each state: its suffix states that end a short item (nearest first by link) or hold a window
-        self.stops: dict[int, list[tuple[int, int]]] = {}
-        for state in range(len(self.len)):
-            found, at = [], state
-            while at > 0:
-                low = self.len[self.link[at]]
-                if low < window <= self.len[at]:
-                    found.append((window, at))
-                for n in self.short.get(at, ()):
-                    found.append((n, at))
-                at = self.link[at]
-            if found:
-                self.stops[state] = found
+                state = n = 0
+                for w in words:
+                    state, n = self.step(state, n, w)
+                    if n >= window:
+                        self.items.setdefault((self.wide[state], window), set()).add(item)
+        #: for each state the nearest one on its chain that ends a short item or is wide, 0 for none. Such states on one
+        #: chain have different lengths of at most the window, so there are at most that many and they are walked in scan()
+        self.stop = array("l", bytes(array("l").itemsize * len(self.len)))
+        for state in by_length:
+            own = state in self.short or self.wide[state] == state
+            self.stop[state] = state if own else self.stop[self.link[state]]
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -110,17 +112,6 @@ class Automaton:
             state = self.next[state][w]
         return state
 
-    def _window_states(self, words: list[bytes]):
-        """States of the windows of an item, each the state whose lengths include the window's."""
-        state, n = 0, 0
-        for w in words:
-            state, n = self.step(state, n, w)
-            at = state
-            while self.len[self.link[at]] >= self.window:
-                at = self.link[at]
-            if n >= self.window:
-                yield at
-
     def step(self, state: int, n: int, w: bytes) -> tuple[int, int]:
         """The state and length of the longest suffix after one more word."""
         nxt = self.next
@@ -135,7 +126,8 @@ class Automaton:
         """Maximal hit ranges of words (end exclusive, touching ones joined), and the ids of the items found."""
         ranges: list[tuple[int, int]] = []
         found: set = set()
-        nxt, link, length, stops, items = self.next, self.link, self.len, self.stops, self.items
+        met: set = set()  # windows and short items whose ids are in found already
+        nxt, link, length, stop, wide, short, items, window = self.next, self.link, self.len, self.stop, self.wide, self.short, self.items, self.window
         state = n = 0
         for i, w in enumerate(words):
             to = nxt[state].get(w)
@@ -148,12 +140,17 @@ class Automaton:
                     n = 0
                     continue
             state, n = to, n + 1
-            if state in stops:
+            at = stop[state]
+            if at:
                 reach = 0
-                for size, at in stops[state]:
-                    if size <= n:
-                        found |= items.get((at, size), set())
-                        reach = max(reach, size)
+                while at:
+                    for size in (*((window,) if wide[at] == at else ()), *short.get(at, ())):
+                        if size <= n:
+                            reach = max(reach, size)
+                            if (at, size) not in met:
+                                met.add((at, size))
+                                found |= items.get((at, size), set())
+                    at = stop[link[at]]
                 if reach:
                     start = i + 1 - reach
                     while ranges and ranges[-1][1] >= start:
@@ -172,13 +169,18 @@ def joined_ranges(one: list[tuple[int, int]], two: list[tuple[int, int]]) -> lis
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """The items in blocks of a bounded number of words (an item larger than that has a block of its own)."""
+def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
+    """The items in blocks of a bounded number of words. A longer item is cut in pieces that share window - 1 words, so
+    each of its windows is in one of them."""
+    most = max(block_words, window)
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = words_of(row.text)
-        if words:
-            if block and size + len(words) > block_words:
+        whole = words_of(row.text)
+        for at in range(0, max(len(whole) - window, 0) + 1, most - window + 1):
+            words = whole[at : at + most]
+            if not words:
+                continue
+            if block and size + len(words) > most:
                 yield block
                 block, size = [], 0
             block.append((row.item_id, words))
@@ -187,32 +189,31 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield block
 
 
-_FOUND = "_hits array<int>, _items array<string>"
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _n_words, _hits (start, end, start, ... of hit word ranges) and _items (ids as text, without null).
+    """docs and, as the last three columns, _n_words, _hits (start, end, start, ... of hit word ranges) and _items (ids as
+    text, without null); where docs has such a name, a longer one is taken.
 
     Each block of items has its own automaton, of a bounded size, and its own pass, with a written table between passes.
     """
     spark = docs.sparkSession
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_words bigint, " + _FOUND
+    new = unused(names, "_n_words", "_hits", "_items")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", `{}` bigint, `{}` array<int>, `{}` array<string>".format(*new)
     out, space = None, None
-    for k, block in enumerate(item_blocks(benchmark, block_words) if benchmark is not None else ()):
+    for k, block in enumerate(item_blocks(benchmark, window, block_words) if benchmark is not None else ()):
         if out is not None:
             space = space or Workspace(spark, "decontaminate")
             out = space.write(out, f"pass{k}")
-        out = _pass(docs if out is None else out, names, schema, spark.sparkContext.broadcast((block, window)), out is not None)
+        out = _pass(docs if out is None else out, names, new, schema, spark.sparkContext.broadcast((block, window)), out is not None)
     if out is None:
-        out = _pass(docs, names, schema, spark.sparkContext.broadcast(([], window)), False)
+        out = _pass(docs, names, new, schema, spark.sparkContext.broadcast(([], window)), False)
     return out
 
 
 _KEPT: dict = {}
 
 
-def _pass(docs: DataFrame, names: list[str], schema: str, sent, again: bool) -> DataFrame:
+def _pass(docs: DataFrame, names: list[str], new: list[str], schema: str, sent, again: bool) -> DataFrame:
     token = uuid.uuid4().hex
 
     def run(batches):
@@ -228,15 +229,15 @@ def _pass(docs: DataFrame, names: list[str], schema: str, sent, again: bool) ->
                 ranges, found = machine.scan(words)
                 found = {str(x) for x in found if x is not None}
                 if again:
-                    old = batch.column("_hits")[i].as_py()
+                    old = batch.column(new[1])[i].as_py()
                     ranges = joined_ranges(ranges, list(zip(old[::2], old[1::2])))
-                    found |= set(batch.column("_items")[i].as_py())
+                    found |= set(batch.column(new[2])[i].as_py())
                 n_words.append(len(words))
                 hits.append([x for r in ranges for x in r])
                 ids.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))],
-                names=[*names, "_n_words", "_hits", "_items"],
+                names=[*names, *new],
             )
 
     return docs.mapInArrow(run, schema)
@@ -281,11 +282,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     names = docs.columns
     found = scan(docs, benchmark, window)
     schema = docs.schema
+    counts, places = found.columns[-3:-1]
 
     def run(batches):
         for batch in short(batches):
             texts, keep = [], []
-            for text, n, hits in zip(batch.column("text").to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_hits").to_pylist()):
+            for text, n, hits in zip(batch.column("text").to_pylist(), batch.column(counts).to_pylist(), batch.column(places).to_pylist()):
                 ranges = list(zip(hits[::2], hits[1::2]))
                 keep.append(not ranges or sum(e - s for s, e in ranges) <= max_coverage * n)
                 texts.append(cut(text, ranges) if ranges else text)

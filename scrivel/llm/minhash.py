@@ -189,4 +189,4 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows with equal doc_id all stay if any of them is kept, repeated rows included. Rows with null doc_id stay.
     """
     drop = near_duplicates(docs, k, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

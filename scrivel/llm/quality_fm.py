@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import batch_of, map_rows, short
+from scrivel.llm.common import batch_of, map_rows, short, unused
 
 WORDS = 1 << 15
 RANK = 8
-#: bound on the labelled rows that the model is fitted on; their feature vectors go to the driver
-MAX_TRAIN_ROWS = 12_000
+#: bounds on what the model is fitted on: labelled documents, and features of one of them (a longer text gives its most
+#: frequent words); their feature vectors, 8 bytes a feature, go to the driver. Scoring takes all features of every text.
+MAX_TRAIN_ROWS, MAX_TRAIN_FEATURES = 12_000, 4_096
 THRESHOLD = 0.3
 
 _UPPER, _DIGIT, _SYMBOL = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>"
@@ -100,6 +101,14 @@ def features(text: str | None, n_chars: int | None, known: dict[str, int]) -> tu
     return np.concatenate([idx, np.array(bins, np.int32)]), np.concatenate([val, np.full(len(bins), 0.5, np.float32)])
 
 
+def strongest(idx: np.ndarray, val: np.ndarray, most: int = MAX_TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many features: those of the largest values, and all statistics."""
+    if len(idx) <= most:
+        return idx, val
+    pick = np.sort(np.concatenate([np.argsort(-val[: -len(EDGES)], kind="stable")[: most - len(EDGES)], np.arange(len(idx) - len(EDGES), len(idx))]))
+    return idx[pick], val[pick]
+
+
 class Machine:
     """Weights of a factorisation machine; score() is its only use at scoring time."""
 
@@ -171,44 +180,47 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     )
     # at most max_rows rows of two numbers: safe to broadcast
     sample = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(wanted), "doc_id")
-    schema = "doc_id long, y int, idx array<int>, val array<float>"
+    schema = "doc_id long, y int, mark long, idx array<int>, val array<float>"
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[str, int] = {}
-        got = [features(t, n, known) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
-        return batch_of(schema, [batch.column("doc_id"), batch.column("y"), [g[0] for g in got], [g[1] for g in got]])
+        got = [strongest(*features(t, n, known)) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
+        return batch_of(schema, [batch.column("doc_id"), batch.column("y"), [crc32(g[0].tobytes() + g[1].tobytes()) for g in got], [g[0] for g in got], [g[1] for g in got]])
 
-    found = map_rows(sample, extract, schema).toArrow().sort_by([("doc_id", "ascending")])
-    found = found.slice(0, max_rows)  # repeated ids may give more rows than labels
+    # one row for each label, whichever of the rows with its id has the least mark, so no more than max_rows are collected
+    vectors = map_rows(sample, extract, schema).groupBy("doc_id").agg(F.min_by(F.struct("y", "idx", "val"), F.struct("mark", "idx")).alias("one"))
+    found = vectors.select("doc_id", "one.*").toArrow().sort_by([("doc_id", "ascending")])
     lists = lambda name, kind: [np.asarray(x.values, kind) for x in found.column(name)]
     return fit(list(zip(lists("idx", np.int32), lists("val", np.float32))), found.column("y").to_pylist())
 
 
 def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """doc_id, the columns named in keep and _fm_score, for every row and its whole text."""
+    """doc_id, the columns named in keep, and last the score, for every row and its whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))  # a fixed number of weights
-    columns = list(dict.fromkeys(["doc_id", "text", "n_chars", *keep]))
+    columns = [f"`{c}`" for c in dict.fromkeys(["doc_id", "text", "n_chars", *keep])]
     out = list(dict.fromkeys(["doc_id", *keep]))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", _fm_score double"
+    (name,) = unused(out, "_fm_score")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + f", `{name}` double"
     known: dict[str, int] = {}
 
     def run(batches):
         model = Machine(*sent.value)
         for batch in short(batches):
             score = [model.score(*features(t, n, known)) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, "_fm_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, name])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 where score >= threshold)."""
-    return scored(docs, train(docs, labels)).select(
+    return scored(docs.select("doc_id", "text", "n_chars"), train(docs, labels)).select(
         "doc_id", held_out().alias("held_out"), F.col("_fm_score").alias("score"), (F.col("_fm_score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with all their columns unchanged."""
-    return scored(docs, train(docs, labels), *docs.columns).where(F.col("_fm_score") >= threshold).select(*docs.columns)
+    every = scored(docs, train(docs, labels), *docs.columns)
+    return every.where(F.col(f"`{every.columns[-1]}`") >= threshold).select(*[f"`{c}`" for c in docs.columns])
