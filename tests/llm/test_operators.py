@@ -1,5 +1,7 @@
 """Brute-force comparisons, held-out accuracy, round trips, and the edge cases of every operator."""
 
+import glob
+import gzip
 import hashlib
 import os
 import random
@@ -226,17 +228,41 @@ def test_rules_estimate_separates_two_kinds():
 
 def test_warc_round_trip(spark):
     html = ["<p>é</p>", "", None, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "<p>é</p>", "x" * 300_000, "<p>é</p>"]
-    pages = spark.createDataFrame([(i if i != 4 else None, None if i == 1 else f"http://x/{i}", h) for i, h in enumerate(html)] + [(0, "again", "<p>é</p>")], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in CLASHING})
+    pages = spark.createDataFrame([(i if i != 4 else None, [f"http://x/{i}", None, "", "http://x/a\r\nb%0D%25", "a%0D"][min(i, 4)], h) for i, h in enumerate(html)] + [(0, "again", "<p>é</p>")] + [(50, "same", "row")] * 3, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in CLASHING})
     folders = warc.write_archive(pages, Workspace(spark, "t"))
     back = warc.reconstruct(spark, folders).collect()
-    assert Counter((r.page_id, r.url, r.payload) for r in back) == Counter((r.page_id, r.url or "", r.html or "") for r in pages.collect())
+    assert Counter((r.page_id, r.url, r.payload) for r in back) == Counter((r.page_id, r.url, r.html or "") for r in pages.collect())
+    assert warc.read_payloads(spark, folders[0]).count() == len({h or "" for h in html} | {"row"})  # stored once
+    heads = {r.uid: r for r in back}
+    for r in warc.originals(spark, folders).collect():
+        cut = warc.Records()
+        (head, payload), = cut.feed(bytes(r.record))
+        assert head == bytes(heads[r.uid].header) and payload.decode() == (heads[r.uid].payload if heads[r.uid].kind == "response" else "")
     got = warc.archived(pages).collect()
-    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit" and r.page_id is not None) == [(0, 0), (2, 1), (6, 0)]
-    assert all(r.payload_digest == warc.base32_sha1((html[r.page_id] or "").encode()) and r.payload_bytes == len((html[r.page_id] or "").encode()) for r in got if r.page_id is not None)
+    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit" and r.page_id is not None) == [(0, 0), (2, 1), (6, 0), (50, 50), (50, 50)]
+    assert [r.record_type for r in got if r.page_id == 50].count("response") == 1
+    assert all(r.payload_digest == warc.base32_sha1((html[r.page_id] or "").encode()) and r.payload_bytes == len((html[r.page_id] or "").encode()) for r in got if r.page_id is not None and r.page_id != 50)
     assert warc.archived(empty(pages)).count() == 0
     assert {r.record_type for r in warc.archived(pages, min_bytes=1 << 30).collect()} == {"response"}
 
 
+def test_warc_reading_is_streamed_and_verified(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i}\r\n\r\nWARC/1.1\r\n" + "z\n" * (i * 50)) for i in range(40)], "page_id long, url string, html string")
+    folders = warc.write_archive(pages, Workspace(spark, "t"))
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(re.sub("^file:(//)?", "", folders[0]) + "/part-*"))
+    cut, got, most = warc.Records(), [], 0
+    for at in range(0, len(raw), 700):
+        got += cut.feed(raw[at : at + 700])
+        most = max(most, len(cut.held))
+    cut.close()
+    assert len(got) == 40 and most < 40 * 50 * 2 + 1_500
+    one = tmp_path / "bad"
+    one.mkdir()
+    (one / "part-0").write_bytes(raw.replace(b"page 7", b"page 8", 1))
+    with pytest.raises(Exception, match="match its digest"):
+        warc.read_payloads(spark, "file://" + str(one)).count()
+
+
 def test_suffixes(docs, rows):
     raw = [(r.text or "").encode() for r in rows]
     seen = Counter(x[i : i + 200] for x in raw for i in range(len(x) - 199))
