@@ -73,6 +73,18 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Within, a write's shuffle files go as soon as it is done; the session's setting is put back after it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones of at most so many rows, so that what is made of one batch stays small."""
     for batch in batches:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace
+from scrivel.llm.common import Workspace, freed
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -177,13 +177,9 @@ def _mixed(docs: DataFrame, path: str | None) -> tuple[DataFrame, DataFrame, Dat
     sizes = space.write(counted(docs), "sizes")
     sources = space.write(targets(sizes), "sources")
     # texts are written in between, so that the shuffle files of one step are gone before the next
-    n_rows, conf, key = sizes.count(), docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
+    n_rows = sizes.count()
+    with freed(docs.sparkSession):
         rows = space.write(packed(counted(docs, "text"), sizes, sources, n_rows), "packed")
-    finally:
-        conf.set(key, before)
     space.free()
     mixed = assembled(rows, sources)
     if path:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, short, spread_join
+from scrivel.llm.common import Workspace, batch_of, freed, short, spread_join
 
 #: payloads of so few bytes are never revisited
 MIN_BYTES = 0
@@ -94,7 +94,8 @@ def write_archive(pages: DataFrame, space: Workspace, min_bytes: int = MIN_BYTES
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.sha1(raw)))), _line("X-Payload-SHA256", F.col("sha")), _line("Content-Length", F.octet_length(raw).cast("string")), F.lit("\r\n"),
     )
     # the text writer ends each record with the two line ends that the format asks for
-    bodies.select(F.concat(head, "html").alias("value")).write.options(lineSep="\r\n\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").text(space.path("payloads"))
+    with freed(pages.sparkSession):
+        bodies.select(F.concat(head, "html").alias("value")).write.options(lineSep="\r\n\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").text(space.path("payloads"))
     space.free()
     return space.path("payloads"), space.path("headers")
 
