@@ -8,11 +8,16 @@ at a hundredth of the suffixes. Consecutive windows with the same anchor form a
 1. Each task finds the stretches of its texts: place, window count, the gram's hash, and a digest of the bytes.
 2. Stretches whose gram occurs once in the corpus hold no repeated window. Of the others, equal ones are counted
    (pre-aggregated before the shuffle) and one of each is fetched, so thousands of copies weigh as one.
-3. Their suffixes are range-partitioned by leading tokens (the gram), by splitters that Spark samples, sorted in each bucket by multikey quicksort, eight bytes a step,
-   and compared with their neighbours; equal grams never straddle a boundary, as range partitions keep equal keys
-   together. The same is done leftwards from the anchor. A window of d bytes before its anchor is repeated when another
-   suffix, or another copy, shares 200 - d bytes to the right and d to the left.
-4. Repeated windows go back to all stretches with that digest, and texts drop the bytes they cover.
+3. Their suffixes are range-partitioned by leading tokens: splitters are sampled suffixes, whole with the bytes to their
+   left, so a gram of any number of suffixes is split over as many buckets as it needs. A bucket is read in order, in
+   batches of at most SORT_ROWS suffixes, each sorted by multikey quicksort, eight bytes a step, to the right and to the
+   left of the anchor. A window of d bytes before its anchor is repeated when another suffix, or another copy, shares
+   200 - d bytes to the right and d to the left.
+4. Comparison across boundaries: a suffix that shares 200 - d bytes with the splitter or suffix at an edge of its batch
+   may have equals beyond it. Such windows, once for each group of a batch, go on by digest, are counted over all
+   batches and buckets, and come back to the suffixes that had no equal in their own batch.
+5. Repeated windows go back to all stretches with that digest, and texts drop the bytes they cover. Where one gram or
+   one digest has a good share of all stretches, these are spread over tasks for the joins.
 
 Edge cases: null and empty texts and texts shorter than a window lose nothing; equal texts, also in rows with equal
 doc_id, are different places, so all of them lose their repeated windows; matches never cross documents; texts of any
@@ -22,6 +27,7 @@ length are cut in pieces that overlap by a window less one byte; an empty table
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, map_rows
+from scrivel.llm.common import Workspace, batch_of, freed, map_rows, short, spread_join
 
 WINDOW, GRAM = 200, 40
 #: bytes that are hashed at once
@@ -147,11 +153,11 @@ def placed_stretches(rows: DataFrame) -> DataFrame:
     return map_rows(rows.where(F.col("n_bytes") >= WINDOW).select("rid", "packed"), run, _PLACED)
 
 
-_FETCHED = "d1 long, d2 long, copies long, lead int, windows int, token binary, bytes binary"
+_FETCHED = "d1 long, d2 long, copies long, lead int, windows int, suffix binary, ahead binary"
 
 
 def fetched(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bytes of one stretch of each digest; token: the gram that its suffix starts with."""
+    """The bytes of one stretch of each digest: the suffix at its anchor, and what is ahead of the anchor, backwards."""
     each = wanted.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "lead", "d1", "d2", "copies")).alias("parts"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,7 +167,7 @@ def fetched(wanted: DataFrame, rows: DataFrame) -> DataFrame:
             raw = unpack(z)
             for p in parts:
                 data = raw[p["first"] : p["first"] + p["windows"] + WINDOW - 1]
-                for c, v in zip(cols, (p["d1"], p["d2"], p["copies"], p["lead"], p["windows"], data[p["lead"] : p["lead"] + GRAM], data)):
+                for c, v in zip(cols, (p["d1"], p["d2"], p["copies"], p["lead"], p["windows"], data[p["lead"] :], data[: p["lead"]][::-1])):
                     c.append(v)
         return batch_of(_FETCHED, cols)
 
@@ -220,21 +226,40 @@ def _neighbours(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 REACH = WINDOW - GRAM  # most bytes of a window before its anchor
 
 
-def repeated_windows(copies: np.ndarray, leads: np.ndarray, windows: np.ndarray, data: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each stretch of a bucket, the ranges (first, end) of its windows that occur twice, counted from its start.
+def shared_bytes(x: bytes, y: bytes) -> int:
+    """How many leading bytes two strings share."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if x[:mid] == y[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def repeated_windows(copies: np.ndarray, leads: np.ndarray, windows: np.ndarray, right: list[bytes], left: list[bytes], edges: list[bytes]) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]:
+    """For each stretch of a batch, the ranges (first, end) of its windows that occur twice in it, counted from its start,
+    and the windows that may have equals beyond the edges: (stretch, window, copies), once for each group of equal ones.
 
     Suffixes are sorted to the right and to the left of the anchor. For each number d of bytes before the anchor, suffixes
     form runs that share WINDOW - d bytes rightwards and runs that share d leftwards; a pair of runs with two copies or
     more is a repeated window. Ids of runs come from the sorted neighbours, so the comparison is exact.
     """
-    n = len(data)
-    right = _padded([x[a:] [:WINDOW] for x, a in zip(data, leads)], WINDOW)
-    left = _padded([x[:a][::-1] for x, a in zip(data, leads)], REACH)
-    r_order, r_shared = _neighbours(right)
-    l_order, l_shared = _neighbours(left)
+    n = len(right)
+    r_order, r_shared = _neighbours(_padded(right, WINDOW))
+    l_order, l_shared = _neighbours(_padded(left, REACH))
     r_place, l_place = np.empty(n, np.int64), np.empty(n, np.int64)
     r_place[r_order], l_place[l_order] = np.arange(n), np.arange(n)
+    # bytes that a suffix shares with the nearer edge; only those with its whole gram can have equals beyond
+    over = np.zeros(n, np.int64)
+    for edge in edges:
+        gram = edge[:GRAM]
+        for i, x in enumerate(right):
+            if x.startswith(gram):
+                over[i] = max(over[i], shared_bytes(x, edge))
     marks: list[list[int]] = [[] for _ in range(n)]
+    beyond: list[tuple[int, int, int]] = []
     least = leads - windows + 1  # bytes before the anchor in the last window
     for d in range(REACH + 1):
         here = np.flatnonzero((least <= d) & (d <= leads))
@@ -249,6 +274,10 @@ def repeated_windows(copies: np.ndarray, leads: np.ndarray, windows: np.ndarray,
         total = np.bincount(group, copies[here][order])
         for i in here[order[total[group] >= 2]].tolist():
             marks[i].append(d)
+        lone = here[order[head]]  # one of each group
+        for i, k in zip(lone.tolist(), total.astype(np.int64).tolist()):
+            if over[i] >= WINDOW - d:
+                beyond.append((i, int(leads[i]) - d, k))
     out = []
     for i, ds in enumerate(marks):
         spans: list[tuple[int, int]] = []
@@ -259,49 +288,84 @@ def repeated_windows(copies: np.ndarray, leads: np.ndarray, windows: np.ndarray,
             else:
                 spans.append((w, w + 1))
         out.append(spans)
-    return out
+    return out, beyond
+
+
+#: suffixes that are sorted at once, and that a bucket has on average
+SORT_ROWS = 30_000
+#: splitters at most; a bucket of more suffixes is read in more batches
+MAX_SPLITTERS = 8_192
+_SAMPLES = 20  # sampled suffixes for each splitter
+#: a range of repeated windows (lo to hi), or, where copies is set, window lo with the digest w1, w2
+_FOUND = "d1 long, d2 long, lo int, hi int, w1 long, w2 long, copies long"
 
 
-_FOUND = "d1 long, d2 long, lo int, hi int"
-#: suffixes that are sorted at once; only a single gram with more of them makes a larger batch
-SORT_ROWS = 60_000
+def splitters(suffixes: DataFrame, sort_rows: int) -> list[tuple[bytes, bytes]]:
+    """Sampled (suffix, bytes ahead) that part the suffixes in buckets of about sort_rows."""
+    n = suffixes.count()
+    wanted = min(n // sort_rows, MAX_SPLITTERS)
+    if not wanted:
+        return []
+    sample = suffixes.select("suffix", "ahead").sample(min(1.0, wanted * _SAMPLES / n), seed=5)
+    found = sorted((bytes(r.suffix), bytes(r.ahead)) for r in sample.toLocalIterator())
+    return sorted({found[len(found) * (i + 1) // (wanted + 1)] for i in range(wanted)} if found else ())
 
 
-def repeated(suffixes: DataFrame) -> DataFrame:
-    """(d1, d2, lo, hi): ranges of repeated windows, by digest. Sorts each range partition by its leading tokens."""
-    parts = suffixes.repartitionByRange("token").sortWithinPartitions("token")
+def repeated(suffixes: DataFrame, space: Workspace, sort_rows: int = SORT_ROWS) -> DataFrame:
+    """(d1, d2, ranges): ranges of repeated windows, by digest."""
+    spark = suffixes.sparkSession
+    parts = splitters(suffixes, sort_rows)
+    sent = spark.sparkContext.broadcast(parts)  # at most MAX_SPLITTERS of 360 bytes
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = [bisect_right(sent.value, x) for x in zip(batch.column("suffix").to_pylist(), batch.column("ahead").to_pylist())]
+        return batch_of("bucket int, " + _FETCHED, [at, *batch.columns])
+
+    def solve(rows: pa.Table, edges: list[bytes]) -> pa.RecordBatch:
         get = lambda c: rows.column(c).to_numpy()
-        d1, d2 = get("d1"), get("d2")
-        found = repeated_windows(get("copies"), get("lead").astype(np.int64), get("windows").astype(np.int64), rows.column("bytes").to_pylist())
-        flat = [(i, lo, hi) for i, spans in enumerate(found) for lo, hi in spans]
+        d1, d2, right, left = get("d1"), get("d2"), rows.column("suffix").to_pylist(), rows.column("ahead").to_pylist()
+        found, beyond = repeated_windows(get("copies"), get("lead").astype(np.int64), get("windows").astype(np.int64), right, left, edges)
+        flat = [(i, lo, hi, None, None, None) for i, spans in enumerate(found) for lo, hi in spans]
+        for i, w, k in beyond:
+            data = left[i][::-1] + right[i]
+            key = xxhash.xxh3_128_digest(data[w : w + WINDOW])
+            flat.append((i, w, w + 1, int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), k))
         pick = np.array([f[0] for f in flat], np.int64)
-        return batch_of(_FOUND, [d1[pick], d2[pick], [f[1] for f in flat], [f[2] for f in flat]])
+        return batch_of(_FOUND, [d1[pick], d2[pick], *([f[c] for f in flat] for c in range(1, 6))])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= SORT_ROWS:
-                rows = pa.Table.from_batches(held)
-                # up to the last change of token; the rest goes with what follows
-                token = rows.column("token")
-                last = token[len(token) - 1].as_py()
-                cut = len(token)
-                while cut and token[cut - 1].as_py() == last:
-                    cut -= 1
-                if cut:
-                    yield solve(rows.slice(0, cut))
-                    held, size = rows.slice(cut).to_batches(), len(token) - cut
+        held: list[pa.RecordBatch] = []  # of one bucket, fewer than sort_rows
+        size, bucket, low = 0, None, None
+
+        def edges(high: bytes | None) -> list[bytes]:
+            return [x for x in (low, high) if x is not None]
+
+        for batch in short(batches, sort_rows):
+            column = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                piece, now = batch.slice(a, b - a), int(column[a])
+                first = piece.column("suffix")[0].as_py()
+                if held and (now != bucket or size + len(piece) > sort_rows):
+                    rows = pa.Table.from_batches(held)
+                    yield solve(rows, edges(first if now == bucket else sent.value[bucket][0]))
+                    low = rows.column("suffix")[-1].as_py()
+                    held, size = [], 0
+                if now != bucket:
+                    bucket, low = now, sent.value[now - 1][0] if now else None
+                held.append(piece)
+                size += len(piece)
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield solve(pa.Table.from_batches(held), edges(sent.value[bucket][0] if bucket < len(sent.value) else None))
 
-    return parts.mapInArrow(run, _FOUND)
+    placed = map_rows(suffixes, place, "bucket int, " + _FETCHED, 4_000).repartition("bucket").sortWithinPartitions("bucket", "suffix", "ahead")
+    with freed(spark):
+        found = space.write(placed.mapInArrow(run, _FOUND), "found")
+    often = found.where("copies > 0").groupBy("w1", "w2").agg(F.sum("copies").alias("k")).where("k > 1").select("w1", "w2")
+    # at most one of a batch has no equal there, so these keys are never hot
+    lone = found.where("copies = 1").join(often, ["w1", "w2"], "left_semi").select("d1", "d2", "lo", "hi")
+    every = found.where("copies IS NULL").select("d1", "d2", "lo", "hi").union(lone)
+    return every.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -323,29 +387,32 @@ def kept_parts(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[bytes],
     return out, len(raw) - sum(map(len, out)), spans
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, sort_rows: int = SORT_ROWS) -> tuple[DataFrame, DataFrame]:
     """The packed texts with their rid, and the repeated byte ranges of each (rid, ranges)."""
     spark = docs.sparkSession
     space = Workspace(spark, "suffixes")
     rows = space.write(packed_texts(docs), "texts")
     places = space.write(placed_stretches(rows), "places")
-    often = places.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    close = space.write(places.join(often, "gram").drop("gram"), "close")
-    space.drop("places")
-    space.free()
-    one = close.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("first").alias("first"), F.first("windows").alias("windows"), F.first("lead").alias("lead"))
-    suffixes = space.write(fetched(one, rows), "suffixes")
-    space.free()
-    found = space.write(repeated(suffixes), "found")
-    space.drop("suffixes")
-    space.free()
-    hits = close.join(found, ["d1", "d2"]).select("rid", (F.col("first") + F.col("lo")).alias("s"), (F.col("first") + F.col("hi") + (WINDOW - 1)).alias("e"))
+    with freed(spark):
+        often = space.write(places.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often")
+        close = space.write(spread_join(places, often.select("gram"), ["gram"], often).drop("gram"), "close")
+        space.drop("places")
+        space.drop("often")
+        one = close.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("first").alias("first"), F.first("windows").alias("windows"), F.first("lead").alias("lead"))
+        one = space.write(one, "one")
+        suffixes = space.write(fetched(one, rows), "suffixes")
+        found = space.write(repeated(suffixes, space, sort_rows), "repeated")
+        space.drop("suffixes")
+        space.drop("found")
+    counts = one.select("d1", "d2", F.col("copies").alias("k"))
+    hits = spread_join(close, found, ["d1", "d2"], counts).select("rid", "first", F.explode("ranges").alias("r"))
+    hits = hits.select("rid", (F.col("first") + F.col("r.lo")).alias("s"), (F.col("first") + F.col("r.hi") + (WINDOW - 1)).alias("e"))
     return rows, hits.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay."""
-    rows, ranges = removals(docs)
+    rows, ranges = removals(docs, sort_rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -360,3 +427,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return batch_of(_RESULT, [batch.column("doc_id"), batch.column("n_bytes"), *cols])
 
     return map_rows(rows.join(ranges, "rid", "left"), run, _RESULT)
+
+
+#: windows by value in DuckDB: every place of every text, counted by its 200 bytes
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS raw, upper(hex(encode(coalesce(text, '')))) AS hx FROM documents),
+p AS (SELECT rid, unnest(range(octet_length(raw) - {WINDOW - 1})) AS pos FROM d WHERE octet_length(raw) >= {WINDOW}),
+w AS (SELECT p.rid, pos, md5_number(substring(hx, (2 * pos + 1)::BIGINT, {2 * WINDOW})) AS h FROM p JOIN d USING (rid)),
+often AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM w SEMI JOIN often USING (h)),
+runs AS (SELECT rid, pos, sum(CASE WHEN before IS NULL OR pos > before + {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM hit),
+spans AS (SELECT rid, run, min(pos) AS s, max(pos) + {WINDOW} AS e, coalesce(lag(max(pos) + {WINDOW}) OVER (PARTITION BY rid ORDER BY run), 0) AS from_ FROM runs GROUP BY rid, run),
+cut AS (SELECT d.rid, string_agg(substring(hx, (2 * from_ + 1)::BIGINT, (2 * (s - from_))::BIGINT), '' ORDER BY s) || substring(any_value(hx), (2 * max(e) + 1)::BIGINT) AS kept, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM spans JOIN d USING (rid) GROUP BY d.rid)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
