@@ -92,6 +92,18 @@ def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches have BATCH_ROWS rows at most, unless the session says otherwise itself.
+
+    The setting is read when a plan runs, and frames that are returned run later, so it stays. It saves buffers outside
+    the heap; what functions make of a batch is bounded by short(), whatever the setting.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":  # Spark's own default
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow of a function from batch to batch (None: nothing to emit), over batches of at most so many rows."""
 
@@ -101,7 +113,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def batch_of(schema: str, columns: list) -> pa.RecordBatch:
@@ -125,6 +137,8 @@ ARROW = {
 
 #: a key is heavy when it has over one in so many rows; there are at most so many heavy keys, so they can be broadcast
 HEAVY_ONE_IN = 10_000
+#: and this many rows
+HEAVY_ROWS = 10_000
 SALTS = 64
 
 
@@ -135,9 +149,11 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     repeated, and the list of heavy keys has at most HEAVY_ONE_IN rows whatever the input. Null keys match nothing.
     """
     total = counts.agg(F.sum("k")).first()[0] or 0
-    heavy = counts.where(F.col("k") * HEAVY_ONE_IN > max(total, HEAVY_ONE_IN * 1000)).select(*keys, F.lit(True).alias("_hot"))
-    if not heavy.limit(1).count():
+    heavy = counts.where(F.col("k") * HEAVY_ONE_IN > max(total, HEAVY_ONE_IN * HEAVY_ROWS)).select(*keys, F.lit(True).alias("_hot"))
+    found = heavy.collect()
+    if not found:
         return big.join(small, keys, how)
+    heavy = big.sparkSession.createDataFrame(found, heavy.schema)
     at = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     left = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_hot"), at).otherwise(0)).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, short, unused
+from scrivel.llm.common import Workspace, bounded, short, unused
 
 WINDOW = 10
 #: words of one automaton; a larger benchmark is cut into several, applied one after another
@@ -240,7 +240,7 @@ def _pass(docs: DataFrame, names: list[str], new: list[str], schema: str, sent,
                 names=[*names, *new],
             )
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -294,4 +294,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names).filter(pa.array(keep))
 
-    return found.mapInArrow(run, schema)
+    return bounded(found).mapInArrow(run, schema)

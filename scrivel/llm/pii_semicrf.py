@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scrivel.llm.common import batch_of, map_rows, short
+from scrivel.llm.common import batch_of, bounded, map_rows, short
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: types of the field; the first four also name base patterns
@@ -380,4 +380,4 @@ def redact(docs: DataFrame) -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, small)
+    return bounded(docs).mapInArrow(run, small)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import batch_of, map_rows, short, unused
+from scrivel.llm.common import batch_of, bounded, map_rows, short, unused
 
 WORDS = 1 << 15
 RANK = 8
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
             score = [model.score(*features(t, n, known)) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], names=[*out, name])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return bounded(docs.select(*columns)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, freed, map_rows, short, spread_join
+from scrivel.llm.common import Workspace, batch_of, bounded, freed, map_rows, short, spread_join
 
 WINDOW, GRAM = 200, 40
 #: bytes that are hashed at once
@@ -292,10 +292,10 @@ def repeated_windows(copies: np.ndarray, leads: np.ndarray, windows: np.ndarray,
 
 
 #: suffixes that are sorted at once, and that a bucket has on average
-SORT_ROWS = 30_000
+SORT_ROWS = 10_000
 #: splitters at most; a bucket of more suffixes is read in more batches
 MAX_SPLITTERS = 8_192
-_SAMPLES = 20  # sampled suffixes for each splitter
+_SAMPLES = 10  # sampled suffixes for each splitter
 #: a range of repeated windows (lo to hi), or, where copies is set, window lo with the digest w1, w2
 _FOUND = "d1 long, d2 long, lo int, hi int, w1 long, w2 long, copies long"
 
@@ -360,7 +360,7 @@ def repeated(suffixes: DataFrame, space: Workspace, sort_rows: int = SORT_ROWS)
 
     placed = map_rows(suffixes, place, "bucket int, " + _FETCHED, 4_000).repartition("bucket").sortWithinPartitions("bucket", "suffix", "ahead")
     with freed(spark):
-        found = space.write(placed.mapInArrow(run, _FOUND), "found")
+        found = space.write(bounded(placed).mapInArrow(run, _FOUND), "found")
     often = found.where("copies > 0").groupBy("w1", "w2").agg(F.sum("copies").alias("k")).where("k > 1").select("w1", "w2")
     # at most one of a batch has no equal there, so these keys are never hot
     lone = found.where("copies = 1").join(often, ["w1", "w2"], "left_semi").select("d1", "d2", "lo", "hi")
@@ -394,18 +394,16 @@ def removals(docs: DataFrame, sort_rows: int = SORT_ROWS) -> tuple[DataFrame, Da
     rows = space.write(packed_texts(docs), "texts")
     places = space.write(placed_stretches(rows), "places")
     with freed(spark):
-        often = space.write(places.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often")
+        often = space.write(places.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").hint("rebalance"), "often")
         close = space.write(spread_join(places, often.select("gram"), ["gram"], often).drop("gram"), "close")
         space.drop("places")
         space.drop("often")
         one = close.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("first").alias("first"), F.first("windows").alias("windows"), F.first("lead").alias("lead"))
-        one = space.write(one, "one")
         suffixes = space.write(fetched(one, rows), "suffixes")
-        found = space.write(repeated(suffixes, space, sort_rows), "repeated")
-        space.drop("suffixes")
-        space.drop("found")
-    counts = one.select("d1", "d2", F.col("copies").alias("k"))
-    hits = spread_join(close, found, ["d1", "d2"], counts).select("rid", "first", F.explode("ranges").alias("r"))
+        found = repeated(suffixes, space, sort_rows)
+    hits = spread_join(close, found, ["d1", "d2"], suffixes.select("d1", "d2", F.col("copies").alias("k")))
+    space.drop("suffixes")
+    hits = hits.select("rid", "first", F.explode("ranges").alias("r"))
     hits = hits.select("rid", (F.col("first") + F.col("r.lo")).alias("s"), (F.col("first") + F.col("r.hi") + (WINDOW - 1)).alias("e"))
     return rows, hits.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Workspace, batch_of, freed, short, spread_join
+from scrivel.llm.common import Workspace, batch_of, bounded, freed, short, spread_join
 
 #: payloads of so few bytes are never revisited
 MIN_BYTES = 0
@@ -154,7 +154,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
                 yield batch_of(_STORED, cols)
         records.close()
 
-    return spark.read.option("lineSep", "\n").text(path).mapInArrow(run, _STORED)
+    return bounded(spark.read.option("lineSep", "\n").text(path)).mapInArrow(run, _STORED)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
