@@ -254,6 +254,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: windows by value in DuckDB
+ORACLE_SQL = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+sized AS (SELECT item_id, words, least({WINDOW}, len(words)) AS n FROM item WHERE len(words) > 0),
+window_ AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(len(words) - n + 1), lambda i: array_to_string(words[i + 1 : i + n], ' '))) AS gram FROM sized),
+doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+sizes AS (SELECT DISTINCT n FROM window_),
+place AS (SELECT doc_id, words, n, unnest(range(len(words) - n + 1)) AS i FROM doc, sizes WHERE len(words) >= n),
+met AS (SELECT doc_id, i, p.n, item_id FROM place p JOIN window_ w ON w.n = p.n AND w.gram = array_to_string(words[i + 1 : i + p.n], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+SELECT doc.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
 #: a text is dropped when more than this share of its words is hit, else its hit ranges are cut out
 MAX_COVERAGE = 0.8
 

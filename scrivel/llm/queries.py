@@ -57,7 +57,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_minhash": minhash.ORACLE_SQL,
     "op4_url_templates": url_templates.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_chat_rotation": chat_format.ORACLE_SQL,
