@@ -33,7 +33,7 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
 #: rows of a bucket of running sums, on average at most
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 ROUNDS = 12
 #: a word with the white space behind it, a text's first also with what is ahead
 SPACED = r"(?:^[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*"
@@ -132,7 +132,7 @@ def draws(sources: DataFrame) -> DataFrame:
 
 def shard_of() -> Column:
     """The shard that slot number slot of a source draws."""
-    return F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.col("shards"))
+    return F.pmod(F.xxhash64(F.lit(SEED + 2), "source_no", "slot"), F.col("shards")).cast("int")
 
 
 def shard_counts(sources: DataFrame) -> DataFrame:
@@ -163,7 +163,10 @@ def assembled(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", F.least("words", left)).where("words > 0")
     text = F.array_join(F.when(F.col("words") < F.size("cut"), F.slice("cut", F.lit(1), F.col("words").cast("int"))).otherwise(F.col("cut")), "")
     part = F.struct("start", "words", text.alias("text"))
-    rows = rows.select("shard", "slot", "source", "source_no", "block", part.alias("part")).repartition("shard")
+    # shards are dealt to tasks in turn, one each or as many to each: by hash, several would meet in some
+    most = (draws(sources).agg(F.max("shards")).first()[0] or 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = most[0] if most[0] <= 2 * most[1] else most[1]
+    rows = rows.select("shard", "slot", "source", "source_no", "block", part.alias("part")).repartitionById(tasks, "shard")
     rows = rows.groupBy("shard", "source_no", "slot").agg(F.first("source").alias("source"), F.first("block").alias("block"), F.sort_array(F.collect_list("part")).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
     parts = F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["words"].alias("words")))
