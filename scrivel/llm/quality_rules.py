@@ -1,8 +1,15 @@
 """Quality rules under weak supervision: rules vote or abstain, expectation-maximisation estimates how often each rule
 votes how on good and on bad documents, and the posterior probability of good replaces a filter that all must pass.
 
+There is more than one way to be bad, and rules look for different ones: a text full of symbols repeats no more than a
+good one does. So a document is good, or bad in the way that one of the rules looks for; that rule then votes bad on it,
+and any rule may vote bad on a good document by mistake. Estimation starts at even odds for every accused document and
+learns how often each rule is wrong, from what the other rules say of the same documents; no labels and no tables of
+likelihoods are given. A rule's accusation holds unless the documents that it accuses look like the good ones otherwise
+and are too many to be of a kind of their own.
+
 Everything that touches a text is a built-in function. Votes are counted by pattern (at most 3^7 rows, whatever the
-corpus), the estimation runs on these counts, and posteriors are sums of log-likelihood ratios of the votes.
+corpus), the estimation runs on these counts, and posteriors go back by pattern.
 
 Edge cases: null and empty texts have no words and fail the base rule; words are `[^\\x20\\x09-\\x0D]+`; a text of any
 length is read whole; repeated rows count and are returned as often as they stand there; an empty table gives no rows;
@@ -75,31 +82,35 @@ def votes(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"vote_{r}": F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1) for r, (bad, good) in RULES.items()})
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, list[list[float]]]:
-    """Prior log-odds of good, and for each rule the log-likelihood ratios of its three votes, by expectation-maximisation.
-
-    It starts from: bad if any rule says so. Pseudo-counts, a hundredth of the corpus and at least 1, keep a rule's votes
-    tied to their meaning: votes for bad stay rare on good documents where the counts don't speak.
-    """
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[dict[tuple[int, ...], float], list[list[list[float]]]]:
+    """The posterior probability of good for each pattern of votes, and how often each rule votes bad, abstains and votes
+    good, for good documents and then for each kind of bad ones. One pseudo-count for each kind, and one for each vote
+    spread as the rule's votes are, keep estimates off zero."""
     k, total = len(RULES), sum(patterns.values())
     if not total:
-        return 0.0, [[0.0] * 3 for _ in range(k)]
-    extra = max(1.0, total / 100)
-    good_like, bad_like = (0.02, 0.2, 0.78), (0.3, 0.3, 0.4)
-    belief = {p: 0.1 if 0 in p else 0.95 for p in patterns}
-    prior, ratios = 0.0, [[0.0] * 3 for _ in range(k)]
+        return {}, []
+    kinds = range(k + 1)  # 0 is good, 1 + j bad in the way of rule j
+    overall = [[sum(n for p, n in patterns.items() if p[j] == v) / total for v in range(3)] for j in range(k)]
+    share = {}
+    for p in patterns:
+        accused = [1 + j for j, v in enumerate(p) if v == 0]
+        share[p] = {0: 0.5, **dict.fromkeys(accused, 0.5 / len(accused))} if accused else {0: 1.0}
+    table: list[list[list[float]]] = []
     for _ in range(rounds):
-        mass = sum(belief[p] * n for p, n in patterns.items())
-        good = [[extra * g for g in good_like] for _ in range(k)]
-        bad = [[extra * b for b in bad_like] for _ in range(k)]
+        mass = [sum(share[p].get(c, 0.0) * n for p, n in patterns.items()) for c in kinds]
+        table = [[[overall[j][v] for v in range(3)] for j in range(k)] for _ in kinds]
         for p, n in patterns.items():
-            for j, v in enumerate(p):
-                good[j][v] += belief[p] * n
-                bad[j][v] += (1 - belief[p]) * n
-        prior = log((mass + 1) / (total - mass + 1))
-        ratios = [[log(good[j][v] / sum(good[j])) - log(bad[j][v] / sum(bad[j])) for v in range(3)] for j in range(k)]
-        belief = {p: 1 / (1 + exp(-max(-700, min(700, prior + sum(ratios[j][v] for j, v in enumerate(p)))))) for p in patterns}
-    return prior, ratios
+            for c, part in share[p].items():
+                for j, v in enumerate(p):
+                    table[c][j][v] += part * n
+        table = [[[x / (mass[c] + 1) for x in votes_] for votes_ in table[c]] for c in kinds]
+        prior = [log((m + 1) / (total + k + 1)) for m in mass]
+        for p in patterns:
+            logs = {c: prior[c] + sum(log(table[c][j][v]) for j, v in enumerate(p) if c != 1 + j) for c in share[p]}
+            top = max(logs.values())
+            whole = sum(exp(x - top) for x in logs.values())
+            share[p] = {c: exp(x - top) / whole for c, x in logs.items()}
+    return {p: share[p][0] for p in patterns}, table
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -108,13 +119,32 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     table = Workspace(spark, "rules").write(votes(statistics(docs)), "votes")
     columns = [f"vote_{r}" for r in RULES]
     counted = table.groupBy(*columns).count().collect()  # at most 3 ** len(RULES) rows
-    prior, ratios = estimate({tuple(r[c] for c in columns): r["count"] for r in counted})
-    logit = F.lit(float(prior))
-    for c, three in zip(columns, ratios):
-        logit = logit + F.when(F.col(c) == 0, three[0]).when(F.col(c) == 1, three[1]).otherwise(three[2])
-    posterior = 1 / (1 + F.exp(-logit))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return table.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"),
-    )
+    posterior, _ = estimate({tuple(r[c] for c in columns): r["count"] for r in counted})
+    known = spark.createDataFrame([(*p, x) for p, x in posterior.items()], ", ".join(f"{c} int" for c in columns) + ", posterior double")
+    return table.join(F.broadcast(known), columns).select(*COUNTS, base_failed().alias("base_failed"), (~base_failed() & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
+
+
+COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def base_counts(docs: DataFrame) -> DataFrame:
+    """What judge() returns without the verdict, which SQL can't express."""
+    return statistics(docs).select(*COUNTS, base_failed().alias("base_failed"))
+
+
+#: base_counts() in DuckDB
+COUNTS_SQL = r"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM a),
+c AS (SELECT *, list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS g FROM b),
+n AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(g) AS x FROM c) GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT doc_id, unnest(range(len(g))) AS i, unnest(g) AS x FROM c),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT p.doc_id, unnest([i, i + 1, i + 2]) AS j FROM p JOIN n ON n.doc_id = p.doc_id AND n.x = p.x) GROUP BY doc_id),
+e AS (SELECT c.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN hit USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM e
+"""

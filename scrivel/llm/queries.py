@@ -32,6 +32,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return quality_rules.base_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_fm, op2_pii_semicrf, op3_minhash, op4_url_templates, op5_decontaminate, op6_quality_rules, op7_warc,
+        op1_quality_fm, op2_pii_semicrf, op3_minhash, op4_url_templates, op5_decontaminate, op6_quality_rules, quality_rule_counts, op7_warc,
         op8_suffix_dedup, op9_chat_rotation, op10_mixing,
     )
 }
@@ -60,6 +65,7 @@ ORACLE_SQL = {
     "op3_minhash": minhash.ORACLE_SQL,
     "op4_url_templates": url_templates.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "quality_rule_counts": quality_rules.COUNTS_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_chat_rotation": chat_format.ORACLE_SQL,

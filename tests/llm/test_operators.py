@@ -218,12 +218,23 @@ def test_rules(docs, rows):
     assert quality_rules.judge(empty(docs)).count() == 0
 
 
-def test_rules_estimate_separates_two_kinds():
+def test_rules_estimate_weighs_accusations():
     n = len(quality_rules.RULES)
-    good, odd = (2,) * n, (2,) * (n - 1) + (0,)
-    prior, ratios = quality_rules.estimate({good: 900, odd: 50, (0, *good[1:]): 60, (0, 0, *good[2:]): 40})
-    value = lambda p: prior + sum(ratios[j][v] for j, v in enumerate(p))
-    assert value(good) > 0 > value((0, 0, *good[2:]))
+    good = (2,) * n
+    vote = lambda *bad: tuple(0 if j in bad else 2 for j in range(n))
+    # rules 3 and 4 accuse together, rule 5 a few documents that nobody else minds, rule 2 a kind of its own
+    posterior, table = quality_rules.estimate({good: 9_000, vote(3, 4): 300, vote(3): 12, vote(2): 400})
+    assert posterior[good] == 1 and posterior[vote(3, 4)] < 0.05 and posterior[vote(2)] < 0.5
+    assert table[0][3][0] < 0.01 < 0.9 < table[4][4][0]
+    assert quality_rules.estimate({}) == ({}, [])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_posterior_agrees_with_labels(spark):
+    d = "/root/testdata/sf0.01"
+    rows = quality_rules.judge(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").where("NOT base_failed").collect()
+    bad, good = [r.kept for r in rows if not r.quality], [r.kept for r in rows if r.quality]
+    assert len(bad) > 20 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.97 * len(good)
 
 
 def test_warc_round_trip(spark):
