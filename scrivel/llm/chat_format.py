@@ -2,13 +2,14 @@
 
 For every participant of a conversation the dialogue is rendered once: that speaker's turns as the assistant's, those of
 the others as named users', the system's as they are. Masks give the characters to train on: the speaker's text and the
-end mark after it. A rendering longer than PART_CHARS is returned in several parts, cut between turns, so no row and no
-task has to hold a conversation of any length; part and masks count from the start of the part.
+end mark after it. A rendering longer than PART_CHARS is returned in several parts, cut between turns, so no row has to
+hold a conversation of any length; part and masks count from the start of the part.
 
 Offsets are running sums in blocks of BLOCK_TURNS turn numbers first, then over the blocks.
 
 Edge cases: a null role is the speaker `unknown`, a null text is empty; turns are ordered by turn (null first), then
-role and text; repeated turns are all rendered; a null conv_id is a conversation; a conversation of system turns alone has
+role and text; repeated turns are all rendered; each turn without a conv_id is a conversation of its own, as nothing says
+what it belongs to; a conversation of system turns alone has
 no participant and no rows; control marks in a text are broken up (`<|` to `< |`); an empty table gives no rows; other
 columns are ignored.
 """
@@ -27,6 +28,8 @@ def rotate(conversations: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     name = F.coalesce("role", F.lit("unknown"))
     body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     turns = conversations.select("conv_id", "turn", name.alias("name"), body.alias("body"))
+    alone = turns.where("conv_id IS NULL AND name <> 'system'")
+    turns = turns.where("conv_id IS NOT NULL")
     people = turns.where("name <> 'system'").select(F.col("conv_id").alias("of"), F.col("name").alias("participant")).distinct()
     rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     target = F.col("name") == F.col("participant")
@@ -46,10 +49,14 @@ def rotate(conversations: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     own = F.filter("items", lambda x: x["target"])
     base = F.get("items", F.lit(0))["start"]
     masks = F.transform(own, lambda x: F.concat((x["start"] - base + x["lead"]).cast("string"), F.lit(":"), (x["start"] - base + F.length(x["piece"]) - 1).cast("string")))
-    return parts.select(
+    parts = parts.select(
         "conv_id", "participant", "part", F.size("items").cast("long").alias("n_turns"), F.size(own).cast("long").alias("n_targets"),
         F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("text"), F.array_join(masks, ",").alias("masks"),
     )
+    one = F.lit(1).cast("long")
+    own, head = F.concat(F.lit("<|assistant|>\n"), "body", F.lit("<|end|>\n")), len("<|assistant|>\n")
+    mask = F.concat(F.lit(f"{head}:"), (F.length("body") + head + len("<|end|>")).cast("string"))
+    return parts.union(alone.select("conv_id", "name", F.lit(0).cast("long"), one, one, own, mask))
 
 
 #: the same in DuckDB, with one running sum for each rendering
@@ -58,7 +65,7 @@ WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, replace(
 people AS (SELECT DISTINCT conv_id, name AS participant FROM turns WHERE name <> 'system'),
 pieces AS (SELECT t.conv_id, p.participant, t.turn, t.name, t.body, t.name = p.participant AS target,
   CASE WHEN t.name = 'system' THEN '<|system|>' || chr(10) WHEN t.name = p.participant THEN '<|assistant|>' || chr(10) ELSE '<|user:' || t.name || '|>' || chr(10) END AS head
-  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM turns t JOIN people p ON t.conv_id = p.conv_id),
 sized AS (SELECT *, head || body || '<|end|>' || chr(10) AS piece, row_number() OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, name, body) AS no FROM pieces),
 placed AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY conv_id, participant ORDER BY no) - length(piece))::BIGINT AS first FROM sized),
 parts AS (SELECT *, first // {PART_CHARS} AS part FROM placed),
@@ -66,4 +73,5 @@ based AS (SELECT *, first - min(first) OVER (PARTITION BY conv_id, participant,
 SELECT conv_id, participant, part, count(*) AS n_turns, count(*) FILTER (target) AS n_targets, string_agg(piece, '' ORDER BY no) AS text,
   coalesce(string_agg((skip + length(head))::BIGINT || ':' || (skip + length(piece) - 1)::BIGINT, ',' ORDER BY no) FILTER (target), '') AS masks
 FROM based GROUP BY conv_id, participant, part
+UNION ALL SELECT conv_id, name, 0, 1, 1, '<|assistant|>' || chr(10) || body || '<|end|>' || chr(10), '14:' || (14 + length(body) + 7) FROM turns WHERE conv_id IS NULL AND name <> 'system'
 """

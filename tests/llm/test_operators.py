@@ -302,7 +302,7 @@ def test_multikey_sort_sorts():
 
 
 def test_chat(spark):
-    turns = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|x"), (1, 2, "ann", None), (1, 2, "ann", None), (None, 5, None, "q"), (2, None, "ann", ""), (2, 900, "bob", "z" * 70_000), (2, 901, "ann", "end"), (3, 0, "system", "alone")]
+    turns = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|x"), (1, 2, "ann", None), (1, 2, "ann", None), (None, 5, None, "q"), (None, 5, "ann", "q2"), (None, 1, "system", "x"), (2, None, "ann", ""), (2, 900, "bob", "z" * 70_000), (2, 901, "ann", "end"), (3, 0, "system", "alone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in CLASHING})
     got = chat_format.rotate(df).collect()
     con = duckdb.connect()
