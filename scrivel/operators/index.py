@@ -1,6 +1,8 @@
 """Positional inverted index as ordinary tables."""
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivel.functions.text import bigram_positions, bigrams
@@ -38,17 +40,65 @@ def postings(docs: DataFrame) -> DataFrame:
     return positions(docs).groupBy("token", "doc_id").agg(place(0).alias("title_pos"), place(1).alias("body_pos"))
 
 
+@dataclass
+class Index:
+    """Documents, a posting for each token of a document, and what is known of each token."""
+
+    docs: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+
+    def document_counts(self, tokens: list[str]) -> dict[str, int]:
+        """In how many documents each of a query's tokens is: one row a token comes to the driver."""
+        return {r.token: r.document_count for r in self.stats.where(F.col("token").isin(tokens)).select("token", "document_count").collect()}
+
+
+def index_of(docs: DataFrame) -> Index:
+    """An index that is made when it is read; for small corpora and tests."""
+    return Index(docs, postings(docs), token_stats(docs))
+
+
 def save_index(docs: DataFrame, path: str, parts: int) -> None:
-    """Writes documents, and positions sorted by token so that a token filter skips row groups."""
+    """Writes documents, postings sorted by token so that a token filter skips row groups, and the tokens' statistics."""
     docs.write.mode("overwrite").parquet(f"{path}/docs")
-    positions(docs).repartitionByRange(parts, "token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+    docs = docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs")
+    made = postings(docs).repartitionByRange(parts, "token", "doc_id").sortWithinPartitions("token", "doc_id")
+    made.write.mode("overwrite").parquet(f"{path}/postings")
+    found = docs.sparkSession.read.schema(made.schema).parquet(f"{path}/postings")
+    stats_of(found).write.mode("overwrite").parquet(f"{path}/stats/batch=-1")
+
+
+def stats_of(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("token").agg(F.count("*").alias("document_count"), F.sum((F.size("title_pos") + F.size("body_pos")).cast("long")).alias("positions_count"))
+
+
+def append_index(docs: DataFrame, path: str, batch: int = 0) -> None:
+    """Adds documents under a batch number; the same batch again replaces itself, so a retried one counts once."""
+    spark = docs.sparkSession
+    docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
+    docs = spark.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}")
+    made = postings(docs).sortWithinPartitions("token", "doc_id")
+    made.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    stats_of(spark.read.schema(made.schema).parquet(f"{path}/postings/batch={batch}")).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+
+
+_POSTINGS = "token string, doc_id bigint, title_pos array<int>, body_pos array<int>"
+_DOCS = "doc_id bigint, url string, title string, body string"
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A saved index, whatever was appended to it included."""
+    read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
+    stats = merge_stats(read("stats", "token string, document_count bigint, positions_count bigint"))
+    return Index(read("docs", _DOCS), read("postings", _POSTINGS), stats)
 
 
-def append_index(docs: DataFrame, path: str) -> None:
-    docs.write.mode("append").parquet(f"{path}/docs")
-    positions(docs).sortWithinPartitions("token", "doc_id").write.mode("append").parquet(f"{path}/positions")
+def lookup(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
+    """The postings of some tokens; the filter is pushed down to the scan."""
+    return open_index(spark, path).postings.where(F.col("token").isin(tokens))
 
 
-def lookup(spark, path: str, tokens: list[str]) -> DataFrame:
-    """The positions of some tokens; the filter is pushed down to the scan."""
-    return spark.read.parquet(f"{path}/positions").where(F.col("token").isin(tokens))
+def index_size(index: Index) -> DataFrame:
+    """n_docs, n_tokens, n_postings and n_positions: what a monitor shows of an index."""
+    size = index.stats.agg(F.count("*").alias("n_tokens"), F.sum("document_count").alias("n_postings"), F.sum("positions_count").alias("n_positions"))
+    return index.docs.agg(F.count("*").alias("n_docs")).crossJoin(size)  # one row each

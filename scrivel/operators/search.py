@@ -1,18 +1,20 @@
-"""Boolean search with TF-IDF, phrase boost and title weight over (doc_id, url, title, body).
+"""Boolean search with TF-IDF, phrase boost and title weight over an index of postings.
 
-A keyword matches a document that has all of its bigrams. Every bigram of adjacent indexed characters is in the index,
-so "has the bigram" is "contains the two characters"; occurrences and phrases are overlapping matches of a lookahead.
-A query is thus one scan with built-in functions: no bigram is ever materialised, and nothing is shuffled but the hits.
+A query reads the postings of all its keywords' and exclusions' tokens in one scan with a pushed-down token filter, and
+groups them by document once: a keyword matches where all of its tokens are there, its phrases are offsets that stand in
+every token's shifted positions. Document counts of the tokens come from the index's statistics. Texts are never read.
 """
 
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions.text import INDEXED, host_of
+from scrivel.operators.index import Index, index_of
 
 _PAIR = re.compile(f"(?=([{INDEXED}]{{2}}))")
 SHARD_HITS = 50
@@ -45,77 +47,100 @@ def query_tokens(keyword: str) -> list[tuple[str, int]]:
     return [(m[1], m.start()) for m in _PAIR.finditer(keyword)]
 
 
-def occurrences(s: Column, token: str) -> Column:
-    return F.regexp_count(s, F.lit(f"(?={token})"))
-
-
-def phrases(s: Column, keyword: str) -> Column:
-    """At how many offsets every bigram of the keyword stands in its place."""
-    tokens = query_tokens(keyword)
-    first, last = tokens[0][1], tokens[-1][1] + 1
-    fixed = {b + k for _, b in tokens for k in (0, 1)}
-    pattern = "".join(keyword[i] if i in fixed else "." for i in range(first, last + 1))
-    return F.regexp_count(s, F.lit(f"(?s)(?={pattern})"))
+def place(field: str, token: str) -> Column:
+    return F.element_at("found", token)[field]
 
 
 def has_all(keyword: str) -> Column:
-    """True where title or body has each bigram; a keyword without bigrams matches nothing."""
-    found = [F.col("title").contains(t) | F.col("body").contains(t) for t, _ in query_tokens(keyword)]
+    """True where a document has each bigram; a keyword without bigrams matches nothing."""
+    found = [F.map_contains_key("found", t) for t, _ in query_tokens(keyword)]
     return reduce(lambda a, b: a & b, found) if found else F.lit(False)
 
 
-def site_matches(site: str) -> Column:
-    return host_of(F.col("url")).endswith(site) if site else F.lit(True)
+def phrases(field: str, keyword: str) -> Column:
+    """At how many offsets every bigram of the keyword stands in its place."""
+    def shifted(token: str, by: int) -> Column:
+        return F.transform(place(field, token), lambda p: p - by)
 
+    return F.size(reduce(F.array_intersect, [shifted(t, b) for t, b in query_tokens(keyword)]))
 
-def corpus_counts(docs: DataFrame, tokens: list[str], *by: str) -> DataFrame:
-    """n_docs and df_0, df_1, ... of the tokens, in one aggregate over the same scan (a row for each group of by)."""
-    df = [F.count_if(F.col("title").contains(t) | F.col("body").contains(t)).alias(f"df_{i}") for i, t in enumerate(tokens)]
-    return docs.groupBy(*by).agg(F.count("*").alias("n_docs"), *df)
 
+def gathered(index: Index, keywords: list[str], site: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id (and by) and found: token to (title_pos, body_pos), of the documents with any of the keywords' tokens."""
+    tokens = sorted({t for k in keywords for t, _ in query_tokens(k)})
+    rows = index.postings.where(F.col("token").isin(tokens))
+    rows = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("title_pos", "body_pos").alias("at")))).alias("found"))
+    if by or site:
+        docs = index.docs.where(host_of(F.col("url")).endswith(site)) if site else index.docs
+        rows = rows.join(docs.select("doc_id", *by), "doc_id")
+    return rows
 
-def keyword_scores(docs: DataFrame, keyword: str, site: str = "", by: tuple[str, ...] = (), phrase_boost: bool = True) -> DataFrame:
-    """doc_id (and by), score, title_phrases, body_phrases of the documents that match a keyword."""
+
+def _weights(index: Index, tokens: list[str], by: tuple[str, ...]) -> tuple[DataFrame | None, list[Column]]:
+    """ln(documents / documents with the token) of each token: numbers, or columns of a table with a row for each shard."""
+    if not by:
+        n, df = index.docs.count(), index.document_counts(tokens)
+        return None, [F.lit(log(n / df[t]) if t in df else 0.0) for t in tokens]
+    rows = index.postings.where(F.col("token").isin(tokens)).select("doc_id", "token").join(index.docs.select("doc_id", *by), "doc_id")
+    df = rows.groupBy(*by).agg(*[F.count_if(F.col("token") == t).alias(f"df_{i}") for i, t in enumerate(tokens)])
+    n = index.docs.groupBy(*by).agg(F.count("*").alias("n_docs"))
+    return n.join(df, list(by)), [F.ln(F.col("n_docs") / F.col(f"df_{i}")) for i in range(len(tokens))]
+
+
+def _scored(index: Index, hits: DataFrame, keyword: str, by: tuple[str, ...], phrase_boost: bool) -> DataFrame:
     tokens = list(dict.fromkeys(t for t, _ in query_tokens(keyword)))
-    if not tokens:
-        none = docs.where(F.lit(False))
-        return none.select("doc_id", *by, F.lit(0.0).alias("score"), F.lit(0).alias("title_phrases"), F.lit(0).alias("body_phrases"))
-    counts = corpus_counts(docs, tokens, *by)
-    hits = docs.where(has_all(keyword) & site_matches(site))
-    # counts is one row, or one for each shard
-    hits = hits.join(F.broadcast(counts), list(by)) if by else hits.crossJoin(F.broadcast(counts))
-    tf = lambda t: occurrences(F.col("title"), t) + occurrences(F.col("body"), t)
-    base = reduce(lambda a, b: a + b, [(1 + F.ln(tf(t))) * F.ln(F.col("n_docs") / F.col(f"df_{i}")) for i, t in enumerate(tokens)])
-    hits = hits.select("doc_id", *by, base.alias("base"), phrases(F.col("title"), keyword).alias("title_phrases"), phrases(F.col("body"), keyword).alias("body_phrases"))
+    counts, weights = _weights(index, tokens, by)
+    hits = hits.join(counts, list(by)) if counts is not None else hits
+    tf = lambda t: F.size(place("title_pos", t)) + F.size(place("body_pos", t))
+    base = reduce(lambda a, b: a + b, [(1 + F.ln(tf(t))) * w for t, w in zip(tokens, weights)])
+    hits = hits.select("doc_id", *by, base.alias("base"), phrases("title_pos", keyword).alias("title_phrases"), phrases("body_pos", keyword).alias("body_phrases"))
     boost = lambda c: F.when(F.col(c) > 0, 3 + F.ln(c)).otherwise(1.0)
     score = F.col("base") * (boost("title_phrases") * 3 + boost("body_phrases")) if phrase_boost else F.col("base")
     return hits.select("doc_id", *by, score.alias("score"), "title_phrases", "body_phrases")
 
 
-def search(docs: DataFrame, text: str, by: tuple[str, ...] = (), compat_and: bool = False) -> DataFrame:
+def _nothing(index: Index, by: tuple[str, ...]) -> DataFrame:
+    return index.docs.where(F.lit(False)).select("doc_id", *by, F.lit(0.0).alias("score"), F.lit(0).alias("title_phrases"), F.lit(0).alias("body_phrases"))
+
+
+def keyword_scores(index: Index | DataFrame, keyword: str, site: str = "", by: tuple[str, ...] = (), phrase_boost: bool = True) -> DataFrame:
+    """doc_id (and by), score, title_phrases, body_phrases of the documents that match a keyword."""
+    index = index if isinstance(index, Index) else index_of(index)
+    if not query_tokens(keyword):
+        return _nothing(index, by)
+    return _scored(index, gathered(index, [keyword], site, by).where(has_all(keyword)), keyword, by, phrase_boost)
+
+
+def search(index: Index | DataFrame, text: str, by: tuple[str, ...] = (), compat_and: bool = False) -> DataFrame:
     """doc_id (and by) and score of the documents that match a query; the first keyword's score counts.
 
     compat_and: as many of the last keyword's hits, by id, as the intersection so far holds, with the last one's score.
     """
+    index = index if isinstance(index, Index) else index_of(index)
     q = parse_query(text)
     keys = ["doc_id", *by]
-    if not q.keywords:
-        return docs.where(F.lit(False)).select(*keys, F.lit(0.0).alias("score"))
-    out = keyword_scores(docs, q.keywords[0], q.site, by).select(*keys, "score")
+    if not q.keywords or not query_tokens(q.keywords[0]) or not compat_and and not all(map(query_tokens, q.keywords)):
+        return _nothing(index, by).select(*keys, "score")
+    if not compat_and:
+        rows = gathered(index, [*q.keywords, *q.exclusions], q.site, by)
+        for k in q.keywords:
+            rows = rows.where(has_all(k))
+        for x in q.exclusions:
+            rows = rows.where(~has_all(x)) if query_tokens(x) else rows
+        return _scored(index, rows, q.keywords[0], by, True).select(*keys, "score")
+    out = keyword_scores(index, q.keywords[0], q.site, by).select(*keys, "score")
     for k in q.keywords[1:]:
-        other = keyword_scores(docs, k, q.site, by).select(*keys, "score")
-        if compat_and:
-            both = out.join(other.select(*keys), keys, "left_semi").groupBy(*by).agg(F.count("*").alias("k"))
+        other = keyword_scores(index, k, q.site, by).select(*keys, "score")
+        both = out.select(*keys).join(other.select(*keys), keys, "left_semi")
+        if by:
             rank = F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))
-            other = other.withColumn("rank", rank)
-            other = other.join(F.broadcast(both), list(by)) if by else other.crossJoin(F.broadcast(both))
+            other = other.withColumn("rank", rank).join(both.groupBy(*by).agg(F.count("*").alias("k")), list(by))
             out = other.where("rank <= k").select(*keys, "score")
         else:
-            # the other keywords only decide what stays: a condition on the scan, no join
-            out = out.join(docs.where(has_all(k) & site_matches(q.site)).select(*keys), keys, "left_semi")
+            out = other.orderBy("doc_id").limit(both.count())
     for x in q.exclusions:
         if query_tokens(x):
-            out = out.join(docs.where(has_all(x) & site_matches(q.site)).select(*keys), keys, "left_anti")
+            out = out.join(gathered(index, [x], q.site, by).where(has_all(x)).select(*keys), keys, "left_anti")
     return out
 
 

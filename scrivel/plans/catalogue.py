@@ -7,6 +7,7 @@ from scrivel.functions import codec, web
 from scrivel.functions.text import bigrams, host_of, parse_documents
 from scrivel.operators import admin, crawl, highlight, index, search
 from scrivel.operators.search import parse_query, query_tokens
+from scrivel.sources import store, tables
 from scrivel.sources.tables import table
 from scrivel.streaming import flows
 
@@ -28,6 +29,23 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_documents(table(spark, sf_dir, "pages"))
 
 
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str = "pages") -> index.Index:
+    """The index of a table, written once in a session; searches read postings, never pages."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        if name == "pages":
+            docs = docs_of(spark, sf_dir)
+        else:
+            docs = table(spark, sf_dir, name).select("doc_id", F.col("source").alias("url"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+        path = store.fresh(spark, f"index-{name}")
+        index.save_index(docs, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _BUILT[key] = path
+    return index.open_index(spark, _BUILT[key])
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
@@ -105,7 +123,7 @@ def corpus_stats(spark, sf_dir):
 @query(f"""WITH {DOCS}, {POS} SELECT tok AS token, doc_id, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (field = 0), '') AS title_pos,
 coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (field = 1), '') AS body_pos, count(*) FILTER (field = 0) AS title_end FROM pos GROUP BY ALL""")
 def postings_list(spark, sf_dir):
-    p = index.postings(docs_of(spark, sf_dir))
+    p = built(spark, sf_dir).postings
     flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return p.select("token", "doc_id", flat("title_pos").alias("title_pos"), flat("body_pos").alias("body_pos"), F.size("title_pos").cast("long").alias("title_end"))
 
@@ -136,68 +154,67 @@ def query_parse(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {POS}, {scored_sql('k', 'that', phrase=False)} SELECT doc_id, round(score, 6) AS score FROM k")
 def search_tfidf(spark, sf_dir):
-    return rounded(search.keyword_scores(docs_of(spark, sf_dir), "that", phrase_boost=False).select("doc_id", "score"))
+    return rounded(search.keyword_scores(built(spark, sf_dir), "that", phrase_boost=False).select("doc_id", "score"))
 
 
 @query(search_sql("that"))
 def search_keyword(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "that"))
+    return rounded(search.search(built(spark, sf_dir), "that"))
 
 
 @query(search_sql("ththth"))
 def search_repeated_token(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "ththth"))
+    return rounded(search.search(built(spark, sf_dir), "ththth"))
 
 
 @query(search_sql("onon,the"))
 def search_punctuated(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "onon,the"))
+    return rounded(search.search(built(spark, sf_dir), "onon,the"))
 
 
 @query(f"WITH {DOCS}, {POS}, {scored_sql('k', 'anan')} SELECT doc_id, coalesce(tp, 0) AS title_phrases, coalesce(bp, 0) AS body_phrases FROM k")
 def phrase_count(spark, sf_dir):
-    got = search.keyword_scores(docs_of(spark, sf_dir), "anan")
+    got = search.keyword_scores(built(spark, sf_dir), "anan")
     return got.select("doc_id", F.col("title_phrases").cast("long").alias("title_phrases"), F.col("body_phrases").cast("long").alias("body_phrases"))
 
 
 @query(search_sql("that anan"))
 def search_and(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "that anan"))
+    return rounded(search.search(built(spark, sf_dir), "that anan"))
 
 
 @query(search_sql("that anan", tail="""SELECT k1.doc_id, round(k1.score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM k1) k1
 WHERE r <= (SELECT count(*) FROM hits)"""))
 def search_and_compat(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "that anan", compat_and=True))
+    return rounded(search.search(built(spark, sf_dir), "that anan", compat_and=True))
 
 
 @query(search_sql("that -ererer"))
 def search_not(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "that -ererer"))
+    return rounded(search.search(built(spark, sf_dir), "that -ererer"))
 
 
 @query(search_sql("that site:example.net"))
 def search_site(spark, sf_dir):
-    return rounded(search.search(docs_of(spark, sf_dir), "that site:example.net"))
+    return rounded(search.search(built(spark, sf_dir), "that site:example.net"))
 
 
 @query(search_sql("that", tail="SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM hits ORDER BY doc_id LIMIT 50) ORDER BY hits.score DESC, doc_id LIMIT 10 OFFSET 10").replace("hits.score DESC", "score DESC"))
 def search_topk_page(spark, sf_dir):
-    hits = rounded(search.search(docs_of(spark, sf_dir), "that"))
+    hits = rounded(search.search(built(spark, sf_dir), "that"))
     return search.page_of(search.first_hits(hits), 2)
 
 
 @query(search_sql("that", shard=True, tail="SELECT doc_id, shard::BIGINT AS shard, round(score, 6) AS score FROM hits QUALIFY row_number() OVER (PARTITION BY shard ORDER BY doc_id) <= 50"))
 def search_sharded(spark, sf_dir):
-    docs = docs_of(spark, sf_dir).withColumn("shard", F.col("doc_id") % 4)
-    return rounded(search.first_hits(search.search(docs, "that", by=("shard",)), 50, "shard"))
+    pages = built(spark, sf_dir)
+    pages.docs = pages.docs.withColumn("shard", F.col("doc_id") % 4)
+    return rounded(search.first_hits(search.search(pages, "that", by=("shard",)), 50, "shard"))
 
 
 @query(search_sql("that", DOCS_ALL))
 def doc_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    docs = d.select("doc_id", F.col("source").alias("url"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
-    return rounded(search.search(docs, "that"))
+    return rounded(search.search(built(spark, sf_dir, "documents"), "that"))
 
 
 _ISLANDS = f"""WITH {DOCS}, {POS}, hit AS (SELECT DISTINCT doc_id, field, pos FROM pos WHERE tok IN ({", ".join(f"'{t}'" for t in dict(query_tokens("that")))})),
@@ -225,9 +242,9 @@ x AS (SELECT *, greatest(least(length(body), CASE WHEN st - pad >= 0 THEN e + pa
 SELECT doc_id, url, CASE WHEN ts IS NULL THEN title ELSE substr(title, 1, ts) || '<span style=''color:red''>' || substr(title, ts + 1, te - ts + 1) || '</span>' || substr(title, te + 2) END AS title,
 CASE WHEN s IS NULL THEN substr(body, 1, 100) ELSE substr(body, st + 1, s - st) || '<span style=''color:red''>' || substr(body, s + 1, e - s + 1) || '</span>' || substr(body, e + 2, en - e - 1) END AS abstract FROM x""")
 def search_abstract(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    first = search.first_hits(search.search(docs, "that").select("doc_id"))  # at most 50 ids, so texts are read last
-    out = highlight.highlighted(docs.join(F.broadcast(first), "doc_id"), "that")
+    pages = built(spark, sf_dir)
+    first = search.first_hits(search.search(pages, "that").select("doc_id"))  # at most 50 ids, so texts are read last
+    out = highlight.highlighted(pages.docs.join(F.broadcast(first), "doc_id"), "that")
     return out.select("doc_id", "url", F.col("title_marked").alias("title"), "abstract")
 
 
@@ -355,7 +372,7 @@ def sanitize_css(spark, sf_dir):
 @query(f"WITH {DOCS}, {POS} SELECT tok AS token, doc_id, count(*) AS n, sum(pos)::BIGINT AS total FROM pos WHERE field = 1 GROUP BY ALL")
 def varint_codec(spark, sf_dir):
     """Postings through the codec and back."""
-    p = index.postings(docs_of(spark, sf_dir)).where(F.size("body_pos") > 0)
+    p = built(spark, sf_dir).postings.where(F.size("body_pos") > 0)
     raw = p.select("token", "doc_id", codec.encoded(F.col("body_pos").cast("array<long>")).alias("raw"))
     back = raw.select("token", "doc_id", codec.decoded(F.col("raw")).alias("p"))
     return back.select("token", "doc_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

@@ -90,10 +90,22 @@ def test_index_agrees_with_containment(spark, tmp_path):
     assert all(n == sum(t in d[2] or t in d[3] for d in rows) for t, n in stats.items())
     halves = index.merge_stats(*[index.token_stats(docs.where(F.col("doc_id") % 2 == k)) for k in (0, 1)])
     assert {r.token: r.document_count for r in halves.collect()} == stats
-    index.save_index(docs.where("doc_id < 30"), f"file://{tmp_path}/i", 2)
-    index.append_index(docs.where("doc_id >= 30"), f"file://{tmp_path}/i")
-    found = index.lookup(spark, f"file://{tmp_path}/i", ["ab"])
+    path = f"file://{tmp_path}/i"
+    index.save_index(docs.where("doc_id < 30"), path, 2)
+    for _ in range(2):  # a batch that is retried replaces itself
+        index.append_index(docs.where("doc_id >= 30"), path, batch=7)
+    found = index.lookup(spark, path, ["ab"])
     assert {r.doc_id for r in found.collect()} == {d[0] for d in rows if "ab" in d[2] or "ab" in d[3]}
+    whole = index.open_index(spark, path)
+    assert {r.token: r.document_count for r in whole.stats.collect()} == stats
+    size = index.index_size(whole).first()
+    assert (size.n_docs, size.n_tokens, size.n_postings) == (60, len(stats), sum(stats.values()))
+    # a saved index answers as one that is made on the fly, and its scan filters tokens
+    for text in ("ab ba -中国", "aba", "ab site:1.example.com"):
+        one, two = (sorted((r.doc_id, round(r.score, 9)) for r in search.search(x, text).collect()) for x in (whole, docs))
+        assert one == two
+    plan = search.search(whole, "aba")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(token, [ab,ba])]" in plan and plan.count("FileScan") == 1
 
 
 def test_pages_and_shards(spark):
