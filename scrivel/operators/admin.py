@@ -4,15 +4,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALIVE_SECONDS = 40
+#: words of a ban list that are searched for at once
+MAX_WORDS = 1_000
 TRUE = ("1", "t", "T", "TRUE", "true", "True")
 FALSE = ("0", "f", "F", "FALSE", "false", "False")
 
 
 def banned(queries: DataFrame, words: DataFrame) -> DataFrame:
-    """Queries (query, ...) that hold any word (keyword) of a short, maintained list; checked before it is broadcast."""
-    n = words.limit(10_001).count()
-    listed = F.broadcast(words) if n <= 10_000 else words
-    return queries.join(listed, F.instr(F.col("query"), F.col("keyword")) > 0, "left_semi")
+    """Queries (query, ...) that hold any word (keyword) of a maintained list. The list goes to the executors in blocks of
+    MAX_WORDS, so no more is broadcast at once; a query is let through by all blocks or kept by one."""
+    numbered = words.where("keyword <> ''").select("keyword").distinct()
+    blocks = max(1, -(-numbered.count() // MAX_WORDS))
+    numbered = numbered.withColumn("block", F.pmod(F.xxhash64("keyword"), F.lit(blocks)))
+    hit = F.lit(False)
+    for k in range(blocks):
+        listed = [r.keyword for r in numbered.where(F.col("block") == k).collect()]
+        # a literal array, bounded by the block
+        hit = hit | F.exists(F.array(*map(F.lit, listed)), lambda w: F.contains("query", w)) if listed else hit
+    return queries.where(hit)
 
 
 def to_bool(s: Column, default: bool) -> Column:
@@ -33,7 +42,7 @@ def config_row(pairs: DataFrame, defaults: dict) -> DataFrame:
 def liveness(beats: DataFrame, now: Column | int) -> DataFrame:
     """addr, last_beat, alive: the latest beat (addr, ts in seconds) of each address, alive if younger than ALIVE_SECONDS."""
     last = beats.groupBy("addr").agg(F.max("ts").alias("last_beat"))
-    return last.withColumn("alive", (F.lit(now) - F.col("last_beat")) < ALIVE_SECONDS)
+    return last.withColumn("alive", (now if isinstance(now, Column) else F.lit(now)) - F.col("last_beat") < ALIVE_SECONDS)
 
 
 def rates(events: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrivel.functions.text import host_of
+from scrivel.sources.store import fresh, written
+
 LINK = r'(?is)<a.+?href.?=.?"(.+?)"'
 SEEDS = (31, 37, 61, 17, 13)
 
@@ -82,12 +85,46 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """node, depth of what is reached in so many rounds."""
-    seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    front = seen.select("node")
-    for depth in range(1, rounds + 1):
-        front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
-    return seen
+    path = fresh(edges.sparkSession, "walk")
+    # edges and every round are written: a round's plan is the same whatever its number
+    edges = written(edges.select("src", "dst"), f"{path}/edges")
+    reached = seeds.select("node").distinct()
+    for depth in range(rounds + 1):
+        front = written(reached, f"{path}/seen/depth={depth}")
+        if depth == rounds or not front.limit(1).count():
+            break
+        seen = edges.sparkSession.read.schema("node string").option("recursiveFileLookup", "true").parquet(f"{path}/seen")
+        reached = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+    return edges.sparkSession.read.schema("node string, depth int").parquet(f"{path}/seen").select("node", "depth")
+
+
+def crawl_rounds(edges: DataFrame, cash: DataFrame, rounds: int) -> DataFrame:
+    """node, cash after so many rounds of online importance; every round is a written table."""
+    path = fresh(edges.sparkSession, "cash")
+    edges = written(edges.select("src", "dst"), f"{path}/edges")
+    for k in range(rounds):
+        cash = written(spread_cash(edges, cash), f"{path}/round{k}")
+    return cash
+
+
+def push(frontier: str, urls: DataFrame, batch: int) -> None:
+    """Adds urls to the frontier at a path, as a batch of a number; the same batch again replaces itself."""
+    urls.select("url").distinct().write.mode("overwrite").parquet(f"{frontier}/batch={batch}")
+
+
+def pop(spark: SparkSession, frontier: str, seen: DataFrame, rules: DataFrame, per_host: int) -> DataFrame:
+    """url, host, turn: what to fetch next, per_host urls of each host at most, in turns: neither seen nor forbidden."""
+    urls = spark.read.schema("url string").option("recursiveFileLookup", "true").parquet(frontier)
+    fresh_urls = unseen(urls, seen).select("url", host_of(F.col("url")).alias("host"), path_query(F.col("url")).alias("path"))
+    allowed = robots_allowed(fresh_urls, rules).where("allowed").select("url")
+    return per_host_order(allowed.withColumn("host", host_of(F.col("url")))).where(F.col("turn") <= per_host)
+
+
+def path_query(url: Column) -> Column:
+    """`path?query` of a url, what robots rules are matched against."""
+    plain = F.substring_index(url, "#", 1)
+    asked = F.when(plain.contains("?"), F.split_part(plain, F.lit("?"), F.lit(2))).otherwise("")
+    return F.concat(F.regexp_extract(plain, "^[^:]*://[^/?#]*([^?]*)", 1), F.lit("?"), asked)
 
 
 def spread_cash(edges: DataFrame, cash: DataFrame) -> DataFrame:

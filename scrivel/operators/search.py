@@ -42,6 +42,25 @@ def parse_query(text: str) -> Query:
     return q
 
 
+def parsed_queries(query: Column) -> Column:
+    """parse_query as a struct column, for tables of queries."""
+    parts = F.filter(F.split(query, " "), lambda x: x != "")
+    words = F.filter(parts, lambda x: ~x.startswith("-") & ~x.startswith("site:"))
+    minus = F.transform(F.filter(parts, lambda x: x.startswith("-") & (x != "-")), lambda x: F.substring(x, F.lit(2), F.length(x)))
+    site = F.transform(F.filter(parts, lambda x: x.startswith("site:") & (x != "site:")), lambda x: F.substring(x, F.lit(6), F.length(x)))
+    return F.struct(words.alias("keywords"), minus.alias("exclusions"), F.coalesce(F.get(site, F.lit(0)), F.lit("")).alias("site"))
+
+
+def page_number(s: Column) -> Column:
+    """A page number as users give it: 1 where it can't be read or is below."""
+    return F.greatest(F.coalesce(F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int")), F.lit(1)), F.lit(1))
+
+
+def page_count(hits: DataFrame) -> DataFrame:
+    """total, pages: hits and the pages that show them, MAX_PAGE at most."""
+    return hits.agg(F.count("*").alias("total")).select("total", F.least(F.ceil(F.col("total") / PAGE), F.lit(MAX_PAGE)).cast("long").alias("pages"))
+
+
 def query_tokens(keyword: str) -> list[tuple[str, int]]:
     """Bigrams of a keyword with their offsets; repeated ones keep every offset."""
     return [(m[1], m.start()) for m in _PAIR.finditer(keyword)]

@@ -144,12 +144,36 @@ SELECT query, array_to_string(list_filter(parts, lambda x: NOT starts_with(x, '-
 array_to_string(list_transform(list_filter(parts, lambda x: starts_with(x, '-') AND x <> '-'), lambda x: substr(x, 2)), ',') AS exclusions,
 coalesce(list_transform(list_filter(parts, lambda x: starts_with(x, 'site:') AND x <> 'site:'), lambda x: substr(x, 6))[1], '') AS site FROM p""")
 def query_parse(spark, sf_dir):
-    parts = F.filter(F.split("query", " "), lambda x: x != "")
-    rows = spark.createDataFrame([(q,) for q in _ASKED], "query string").withColumn("parts", parts)
-    words = F.filter("parts", lambda x: ~x.startswith("-") & ~x.startswith("site:"))
-    minus = F.transform(F.filter("parts", lambda x: x.startswith("-") & (x != "-")), lambda x: F.substring(x, F.lit(2), F.length(x)))
-    site = F.transform(F.filter("parts", lambda x: x.startswith("site:") & (x != "site:")), lambda x: F.substring(x, F.lit(6), F.length(x)))
-    return rows.select("query", F.array_join(words, ",").alias("keywords"), F.array_join(minus, ",").alias("exclusions"), F.coalesce(F.get(site, F.lit(0)), F.lit("")).alias("site"))
+    """The parser that search uses, of every query text."""
+    rows = [(q, ",".join(p.keywords), ",".join(p.exclusions), p.site) for q in _ASKED for p in [parse_query(q)]]
+    return spark.createDataFrame(rows, "query string, keywords string, exclusions string, site string")
+
+
+_USER_SQL = "SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS parts FROM conversations WHERE role = 'user'"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(parts, lambda x: NOT starts_with(x, '-') AND NOT starts_with(x, 'site:')), ' ') AS keywords,
+len(list_filter(parts, lambda x: starts_with(x, '-') AND x <> '-')) AS n_exclusions FROM ({_USER_SQL})""")
+def query_parse_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", search.parsed_queries(F.col("text")).alias("q"))
+    return rows.select("conv_id", "turn", F.array_join("q.keywords", " ").alias("keywords"), F.size("q.exclusions").cast("long").alias("n_exclusions"))
+
+
+@query(search_sql("that", tail="SELECT count(*) AS total, least(ceil(count(*) / 10), 10)::BIGINT AS pages FROM hits"))
+def search_page_count(spark, sf_dir):
+    return search.page_count(search.search(built(spark, sf_dir), "that"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 1 ELSE o_orderkey END::INT AS page FROM orders")
+def lenient_page(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    given = F.when(F.col("o_orderkey") % 3 == 0, F.concat(k, F.lit("x"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("-"), k)).otherwise(k)
+    return table(spark, sf_dir, "orders").select("o_orderkey", search.page_number(given).alias("page"))
+
+
+@query(f"WITH {DOCS}, {POS} SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT count(DISTINCT tok) FROM pos) AS n_tokens, (SELECT count(*) FROM (SELECT DISTINCT doc_id, tok FROM pos)) AS n_postings, (SELECT count(*) FROM pos) AS n_positions")
+def index_monitor(spark, sf_dir):
+    return index.index_size(built(spark, sf_dir))
 
 
 @query(f"WITH {DOCS}, {POS}, {scored_sql('k', 'that', phrase=False)} SELECT doc_id, round(score, 6) AS score FROM k")
@@ -335,8 +359,7 @@ _SITE = r"regexp_extract(url, '([a-z]+\.[a-z]+)(?:[/?#:]|$)', 1)"
 u AS (SELECT url, {_SITE} AS host, regexp_extract(split_part(url, '#', 1), '^[^:]*://[^/?#]*([^?]*)', 1) || '?' || CASE WHEN contains(split_part(url, '#', 1), '?') THEN split_part(split_part(url, '#', 1), '?', 2) ELSE '' END AS path FROM pages)
 SELECT url, coalesce(bool_or(kind = 'allow' AND regexp_matches(path, pattern)), false) OR NOT coalesce(bool_or(kind = 'disallow' AND regexp_matches(path, pattern)), false) AS allowed FROM u LEFT JOIN rules USING (host) GROUP BY url""")
 def robots_eval(spark, sf_dir):
-    plain = F.substring_index("url", "#", 1)
-    path = F.concat(F.regexp_extract(plain, "^[^:]*://[^/?#]*([^?]*)", 1), F.lit("?"), F.when(plain.contains("?"), F.split_part(plain, F.lit("?"), F.lit(2))).otherwise(""))
+    path = crawl.path_query(F.col("url"))
     urls = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"([a-z]+\.[a-z]+)(?:[/?#:]|$)", 1).alias("host"), path.alias("path"))
     return crawl.robots_allowed(urls, F.broadcast(spark.createDataFrame(_ROBOT_ROWS, "host string, kind string, pattern string")))
 
@@ -383,9 +406,9 @@ def varint_codec(spark, sf_dir):
 def liveness(spark, sf_dir):
     """Beats are hours apart here, so a tick is an hour instead of a second."""
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("addr"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
-    last = beats.groupBy("addr").agg(F.max("ts").alias("last_beat"))
-    now = beats.agg(F.max("ts").alias("now"))
-    return last.crossJoin(F.broadcast(now)).select("addr", "last_beat", ((F.col("now") - F.col("last_beat")) / 3600 < admin.ALIVE_SECONDS).alias("alive"))
+    now = beats.agg(F.max("ts")).first()[0] or 0
+    hours = beats.withColumn("ts", F.col("ts") / 3600)
+    return admin.liveness(hours, now / 3600).withColumn("last_beat", F.round(F.col("last_beat") * 3600).cast("long"))
 
 
 @query("SELECT user_id AS addr, count(*) AS crawled, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS failure_rate FROM events GROUP BY ALL")
@@ -419,16 +442,10 @@ def split_list(spark, sf_dir):
 
 @query(ORACLE_SQL["token_stats"])
 def stream_ingest(spark, sf_dir):
-    """Pages read as a stream, parsed and counted; the result is that of the batch."""
-    docs = parse_documents(flows.stream_of(spark, sf_dir, "pages", flows.PAGES))
-    tokens = F.concat(bigrams(F.col("title")), bigrams(F.col("body")))
-    per_doc = docs.select(F.explode(tokens).alias("token"), "doc_id")
-    counted = per_doc.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return index_totals(flows.drained(counted, "complete"))
-
-
-def index_totals(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("token").agg(F.count("*").alias("document_count"), F.sum("n").alias("positions_count"))
+    """Pages read as a stream and indexed batch by batch; the statistics are those of the batch index."""
+    path = store.fresh(spark, "ingest")
+    flows.ingest(flows.stream_of(spark, sf_dir, "pages", flows.PAGES), f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return index.open_index(spark, f"{path}/index").stats
 
 
 @query("SELECT user_id AS addr, epoch_us(max(ts)) AS last_beat FROM events GROUP BY ALL")
@@ -446,3 +463,103 @@ def stream_dedup(spark, sf_dir):
 def event_windows(spark, sf_dir):
     got = flows.windowed(table(spark, sf_dir, "events"))
     return got.select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+@query("""WITH b AS (SELECT user_id AS addr, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT addr, ts, count(*) FILTER (gap IS NULL OR gap > INTERVAL 40 HOUR) OVER (PARTITION BY addr ORDER BY ts, gap) AS no FROM b)
+SELECT addr, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 40 HOUR) AS dead, count(*) AS beats FROM s GROUP BY addr, no""")
+def heartbeat_expiry(spark, sf_dir):
+    got = flows.beat_changes(table(spark, sf_dir, "events"))
+    return got.select("addr", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("dead"), "beats")
+
+
+@query("SELECT DISTINCT event_type AS url FROM events")
+def stream_dedup_bounded(spark, sf_dir):
+    """Types stand for urls; the state forgets what is older than the watermark, which is beyond the table's span."""
+    events = flows.stamped(flows.stream_of(spark, sf_dir, "events", flows.EVENTS)).select(F.col("event_type").alias("url"), "ts")
+    return flows.drained(flows.unseen_urls(events, "3650 days"), "append")
+
+
+# --- frontier, sinks and sources --------------------------------------------------------------------------------------
+
+_CASH = """r{k} AS (SELECT node, sum(cash) AS cash FROM (
+  SELECT dst AS node, cash / k AS cash FROM edges JOIN outs USING (src) JOIN r{p} ON node = src
+  UNION ALL SELECT node, cash FROM r{p} WHERE node NOT IN (SELECT src FROM edges)
+  UNION ALL SELECT DISTINCT dst, 1.0 FROM edges JOIN r{p} o ON o.node = src WHERE NOT EXISTS (FROM r{p} x WHERE x.node = dst AND x.node NOT IN (SELECT src FROM edges))) GROUP BY node)"""
+
+
+@query(f"""WITH {_EDGES.replace("edges AS", "one AS").replace("FROM edges", "FROM one").replace("both_ways", "edges")}, outs AS (SELECT src, count(*) AS k FROM edges GROUP BY ALL),
+r0 AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS cash FROM edges), {", ".join(_CASH.format(k=k, p=k - 1) for k in (1, 2, 3))},
+ranked AS (SELECT node, round(cash, 6) AS cash FROM r3) SELECT node, cash FROM ranked ORDER BY cash DESC, node LIMIT 20""")
+def opic_rounds(spark, sf_dir):
+    """The richest after three rounds, the next to be crawled."""
+    edges = _edges(spark, sf_dir)
+    cash = crawl.crawl_rounds(edges, edges.select(F.col("src").alias("node"), F.lit(1.0).alias("cash")).distinct(), 3)
+    return crawl.richest(cash.select("node", F.round("cash", 6).alias("cash")), 20)
+
+
+@query(f"""WITH {_LINKS}, rules(host, kind, pattern) AS (SELECT * FROM (SELECT DISTINCT {_HOST} AS host FROM pages), (VALUES ('disallow', '^/.*?/[^?]*7[?]'), ('allow', '^/en/'))),
+u AS (SELECT DISTINCT link AS url, {_HOST.replace("(url,", "(link,")} AS host, regexp_extract(split_part(link, '#', 1), '^[^:]*://[^/?#]*([^?]*)', 1) || '?' || split_part(split_part(link, '#', 1), '?', 2) AS path FROM links WHERE link NOT IN (SELECT url || '/' FROM pages)),
+ok AS (SELECT url, any_value(host) AS host FROM u LEFT JOIN rules USING (host) GROUP BY url HAVING coalesce(bool_or(kind = 'allow' AND regexp_matches(path, pattern)), false) OR NOT coalesce(bool_or(kind = 'disallow' AND regexp_matches(path, pattern)), false))
+SELECT url, host, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url) AS turn FROM ok) WHERE turn <= 3""")
+def frontier_pop(spark, sf_dir):
+    """Seeds and links are pushed, what is seen or forbidden goes, and each host gives three urls in turns."""
+    pages, path = table(spark, sf_dir, "pages"), store.fresh(spark, "frontier")
+    links = crawl.extract_links(pages).select(F.col("link").alias("url"))
+    for k in range(2):
+        crawl.push(path, links.where(F.pmod(F.xxhash64("url"), F.lit(2)) == k), k)
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    kinds = spark.createDataFrame([("disallow", "^/.*?/[^?]*7[?]"), ("allow", "^/en/")], "kind string, pattern string")
+    return crawl.pop(spark, path, pages.select(F.concat("url", F.lit("/")).alias("url")), hosts.crossJoin(F.broadcast(kinds)), 3)
+
+
+@query("SELECT DISTINCT url FROM pages WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+def seen_exact(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return crawl.unseen(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0").select("url"))
+
+
+@query("SELECT page_id, url, length(html) AS n_chars FROM pages")
+def json_ingest(spark, sf_dir):
+    """Pages through JSON lines and back, as they come in over the wire."""
+    path = store.fresh(spark, "json")
+    pages = table(spark, sf_dir, "pages")
+    tables.to_json_lines(pages.select(F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("url"), F.col("html").alias("document")), path)
+    back = tables.read_pages_json(spark, path)
+    return back.select(F.substring_index("url", " ", 1).cast("long").alias("page_id"), F.expr("substring(url, instr(url, ' ') + 1)").alias("url"), F.length("document").cast("long").alias("n_chars"))
+
+
+@query(search_sql("that", tail="SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10"))
+def cached_page(spark, sf_dir):
+    """A query's hits, cached for twelve hours, and the second page of what the cache holds."""
+    path = store.fresh(spark, "cache")
+    hits = rounded(search.search(built(spark, sf_dir), "that"))
+    tables.cache_results(hits, "that", 1_000, path)
+    tables.cache_results(hits, "that", -1_000_000, path)  # long expired
+    return search.page_of(tables.cached_results(spark, "that", 2_000, path, "doc_id bigint, score double"), 2)
+
+
+@query("SELECT c_custkey, c_name, c_custkey % 10 = 0 AS replaced FROM customer WHERE c_custkey % 7 <> 0")
+def table_changes(spark, sf_dir):
+    """Rows inserted, replaced and deleted by key."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(False).alias("replaced"))
+    late = c.where("c_custkey % 10 = 0").withColumn("replaced", F.lit(True))
+    there = admin.upserted(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
+    return admin.removed(admin.upserted(there, late, "c_custkey"), c.where("c_custkey % 7 = 0").select("c_custkey"), "c_custkey")
+
+
+@query("SELECT s_suppkey, s_acctbal >= 0 AS alive FROM supplier")
+def alive_with_dead(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return admin.with_dead(s.where("s_acctbal >= 0").select("s_suppkey"), s.where("s_acctbal < 0 OR s_acctbal IS NULL").select("s_suppkey"))
+
+
+@query(f"SELECT page_id, page_id % 2 = 0 AS holds FROM pages")
+def signature_check(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("key", F.when(F.col("page_id") % 2 == 0, web.hmac_hex(F.col("url"))).otherwise(F.lit("00")))
+    return pages.select("page_id", web.signature_holds(F.col("url"), F.col("key")).alias("holds"))
+
+
+@query("""SELECT page_id, '<p class="x">' || replace(replace(replace(replace(replace(url, '&', '&amp;'), chr(39), '&#39;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;') || '</p>' AS shown FROM pages""")
+def escaped_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<p class="x">'), web.escaped(F.col("url")), F.lit("</p>")).alias("shown"))
