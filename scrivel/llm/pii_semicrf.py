@@ -2,9 +2,11 @@
 
 The field scores whole candidate segments of up to MAX_SEGMENT tokens by features of the span as a unit (its shape, digit
 count, checksum, the word before it), and one dynamic programme over segments chooses boundaries and types together.
-A segment can only be an entity if it holds a trigger token (one with a digit, an @, a +, 16 capitals in a row, a
-bracketed at or dot, a word such as password, or the head of a key or of a letters-only address) or follows such a word, so the best labelling of a text falls apart into islands around triggers and the rest stays unlabelled at no
-cost: this is exact, not a cut. The weights maximise the conditional likelihood of generated sentences.
+The model's candidates are the segments that hold a trigger token (one with a digit, an @, a +, 16 capitals in a row, a
+bracketed at or dot, a word such as password, or the head of a key or of a letters-only address) or follow such a word;
+other segments have no weight by definition. The best labelling of a text therefore falls apart into islands of tokens
+around triggers, and solving each island gives the best labelling of the whole text. Segments have no bound in characters.
+The weights maximise the conditional likelihood of generated sentences.
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole; repeated rows are judged one by one;
 empty tables give no rows; other columns are neither read nor changed. Offsets count code points, ends are exclusive.
