@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns
 of documents. run() writes each stage's rows to the folder that the cluster shares and reads them again for the next.
+
+Edge cases: a null or empty text is scored like any other by the classifier, is no copy of anything, has no benchmark
+words and no personal data, and is never taken by the mix, so it is not in the result; rows with equal doc_id are separate
+documents, but of near copies one row stays, repeated rows included; a null source is a source of its own; columns beside
+those of documents, whatever their names, go through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str, mix_path: str | None = None) -> DataFr
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = space.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            space.drop(f"stage{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir, mix_path)
