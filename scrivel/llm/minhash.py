@@ -42,6 +42,8 @@ ROWS = PERMUTATIONS // BANDS
 MIN_AGREE = 72
 #: members of a bucket that are paired with each other; larger buckets are searched by prefixes
 BUCKET = 128
+#: row numbers that are broadcast at most, 8 bytes each
+MOST_SENT = 1_000_000
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -254,6 +256,9 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = space.write(grouped(docs, k, percent, f"`{own}`").select("rid", "doc_id", "root"), "rows")
     first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select("f.rid")
     drop = rows.where("root IS NOT NULL").join(first, "rid", "left_anti").select(F.col("rid").alias("_drop"))
+    drop = space.write(drop, "drop")
+    if drop.count() <= MOST_SENT:  # else texts are shuffled
+        drop = F.broadcast(drop)
     return docs.join(drop, F.col(f"`{own}`") == F.col("_drop"), "left_anti").select(*names)
 
 
