@@ -4,16 +4,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TITLE = r"(?is)<title.*?>(.*?)</title>"
-MARKUP = r"(?is)<!--.*?-->|<script.*?>.*?</script>|<style.*?>.*?</style>|<title.*?>.*?</title>|<.+?>"
+#: comments, scripts, styles and titles with what is in them, and all other tags; a tag ends at its first >
+MARKUP = r"(?is)<(?:!--.*?-->|script[^>]*>.*?</script>|style[^>]*>.*?</style>|title[^>]*>.*?</title>|.[^>]*>)"
 BLANKS = r"[\t\n\f\r ]+"
 #: white space that trimming takes off, Unicode's included
-EDGES = r"^[\t-\r \x{85}\p{Z}]+|[\t-\r \x{85}\p{Z}]+$"
+EDGE = r"\t-\r \x{85}\p{Z}"
 INDEXED = "A-Za-z0-9一-龥"
 BIGRAM = f"[{INDEXED}]{{2}}"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.regexp_extract(c, f"(?s)^[{EDGE}]*(.*[^{EDGE}])", 1)
 
 
 def title_of(html: Column) -> Column:

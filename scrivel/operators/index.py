@@ -2,17 +2,13 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.functions.text import bigram_positions, bigrams
-
-
-def positions(docs: DataFrame) -> DataFrame:
-    """doc_id, field (0 title, 1 body), token, pos: the flat index."""
-    both = F.array(F.struct(F.lit(0).alias("field"), F.col("title").alias("s")), F.struct(F.lit(1).alias("field"), F.col("body").alias("s")))
-    rows = docs.select("doc_id", F.explode(both).alias("f")).select("doc_id", "f.field", F.explode(bigram_positions(F.col("f.s"))).alias("b"))
-    return rows.select("doc_id", "field", "b.token", "b.pos")
+from scrivel.functions.batches import map_pieces
+from scrivel.functions.text import bigrams
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -34,10 +30,80 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("document_count").alias("document_count"), F.sum("positions_count").alias("positions_count"))
 
 
+#: bytes of a row group of postings
+ROW_GROUP = 16 << 20
+_LISTS = {"title_pos": "array<int>", "body_pos": "array<int>"}
+#: a token is a number below PAIRS: two indexed characters, each ranked by code point (0: not indexed)
+RANKS = 62 + 0x9FA5 - 0x4E00 + 2
+PAIRS = RANKS * RANKS
+_ASCII = np.zeros(256, dtype=np.int32)
+_ASCII[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = np.arange(1, 63)
+
+
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, token number and code point offset of every bigram of some texts, by row and offset."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.zeros(ends[-1] - ends[0] + 2, dtype=np.uint8)
+    if len(raw) > 2:
+        raw[:-2] = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    at = np.flatnonzero((raw[:-2] & 0xC0) != 0x80)  # where code points start
+    lead = raw[at]
+    rank = _ASCII[lead]
+    wide = np.flatnonzero((lead >= 0xE4) & (lead <= 0xE9))  # the three bytes of the ideographs
+    if len(wide):
+        w = at[wide]
+        code = (raw[w].astype(np.int32) & 15) << 12 | (raw[w + 1].astype(np.int32) & 63) << 6 | (raw[w + 2] & 63)
+        rank[wide] = np.where((code >= 0x4E00) & (code <= 0x9FA5), code - 0x4E00 + 63, 0)
+    first = np.searchsorted(at, ends - ends[0])  # each text's first code point
+    follows = rank[1:] > 0
+    inner = first[(first > 0) & (first < len(at))]
+    follows[inner - 1] = False
+    here = np.flatnonzero((rank[:-1] > 0) & follows)
+    row = np.searchsorted(first, here, side="right") - 1
+    return row, rank[here].astype(np.int64) * RANKS + rank[here + 1], here - first[row]
+
+
+def _character(rank: int) -> str:
+    return chr(rank - 63 + 0x4E00) if rank > 62 else chr(int(np.flatnonzero(_ASCII == rank)[0]))
+
+
+def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of some documents, by token and then as the documents come."""
+    ids = batch.column(0)
+    (r0, k0, p0), (r1, k1, p1) = _pairs(batch.column(1)), _pairs(batch.column(2))
+    row, key, pos = np.concatenate([r0, r1]), np.concatenate([k0, k1]), np.concatenate([p0, p1]).astype(np.int32)
+    # (token, row, place in the arrays) in one number, so that a plain sort keeps titles first and offsets in order
+    bits = max(len(key).bit_length(), 1)
+    order = np.sort((key * len(ids) + row) << bits | np.arange(len(key)))
+    group, at = order >> bits, order & ((1 << bits) - 1)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    title = at < len(k0)
+    before = np.concatenate([[0], np.cumsum(title)])
+    bounds = np.append(starts, len(at))
+    lists = []
+    for mine, offsets in ((title, before[bounds]), (~title, bounds - before[bounds])):
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pos[at[mine]])))
+    keys, row = np.divmod(group[starts], max(len(ids), 1))
+    distinct, which = np.unique(keys, return_inverse=True)
+    tokens = pa.array([_character(k // RANKS) + _character(k % RANKS) for k in distinct.tolist()], pa.string()).take(pa.array(which))
+    return pa.RecordBatch.from_arrays([tokens, ids.take(pa.array(row)), *lists], names=["token", "doc_id", *_LISTS])
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """token, doc_id, title_pos, body_pos (sorted arrays): a posting for each token of a document."""
-    place = lambda k: F.sort_array(F.collect_list(F.when(F.col("field") == k, F.col("pos"))))
-    return positions(docs).groupBy("token", "doc_id").agg(place(0).alias("title_pos"), place(1).alias("body_pos"))
+    """token, doc_id, title_pos, body_pos (sorted arrays): a posting for each token of a document.
+
+    All tokens of a document are found where its text is, so nothing is shuffled. Only documents that share an id are
+    gathered after it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = map_pieces(docs.select("doc_id", "title", "body"), _posted, f"token string, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _LISTS.items()))
+    shared = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if shared.isEmpty():
+        return made
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    together = [F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in _LISTS]
+    return made.join(shared, same, "left_anti").unionByName(made.join(shared, same, "left_semi").groupBy("token", "doc_id").agg(*together))
 
 
 @dataclass
@@ -59,11 +125,12 @@ def index_of(docs: DataFrame) -> Index:
 
 
 def save_index(docs: DataFrame, path: str, parts: int) -> None:
-    """Writes documents, postings sorted by token so that a token filter skips row groups, and the tokens' statistics."""
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    """Writes documents in so many parts, each part's postings sorted by token so that a token filter skips most of it, and
+    the tokens' statistics. Postings stay with their documents: a query reads its tokens from all parts alike."""
+    docs.repartition(parts, "doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     docs = docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs")
-    made = postings(docs).repartitionByRange(parts, "token", "doc_id").sortWithinPartitions("token", "doc_id")
-    made.write.mode("overwrite").parquet(f"{path}/postings")
+    made = postings(docs).sortWithinPartitions("token", "doc_id")
+    made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
     found = docs.sparkSession.read.schema(made.schema).parquet(f"{path}/postings")
     stats_of(found).write.mode("overwrite").parquet(f"{path}/stats/batch=-1")
 
@@ -78,7 +145,7 @@ def append_index(docs: DataFrame, path: str, batch: int = 0) -> None:
     docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
     docs = spark.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}")
     made = postings(docs).sortWithinPartitions("token", "doc_id")
-    made.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings/batch={batch}")
     stats_of(spark.read.schema(made.schema).parquet(f"{path}/postings/batch={batch}")).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
 
 
