@@ -1,31 +1,45 @@
-"""Highlight intervals and abstracts of hits, as array expressions over one document each."""
+"""Highlight intervals and abstracts of hits, over one document each."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.functions.text import bigram_positions
+from scrivel.functions.batches import short_batches
 from scrivel.operators.search import query_tokens
 
 OPEN, CLOSE, WIDTH = "<span style='color:red'>", "</span>", 100
 
 
+def islands(keyword: str) -> re.Pattern | None:
+    """A match for each run of a keyword's bigrams that lie at most one character apart; None for one without bigrams."""
+    tokens = list(dict.fromkeys(t for t, _ in query_tokens(keyword)))
+    hit = "(?:" + "|".join(f"{t[0]}(?={t[1]})" for t in tokens) + ")"
+    return re.compile(f"(?s){hit}(?:.??{hit})*+.") if tokens else None
+
+
+def _spans(text: str, pattern: re.Pattern) -> list[dict]:
+    every = [{"s": m.start(), "e": m.end() - 1} for m in pattern.finditer(text)]
+    best = max(every, key=lambda x: x["e"] - x["s"], default=None)
+    return [best] if best and best["e"] - best["s"] + 1 <= WIDTH else every
+
+
 def with_intervals(docs: DataFrame, keyword: str, column: str, name: str) -> DataFrame:
     """docs with name: the intervals (s, e; e inclusive) to highlight, merged over gaps of one character.
 
-    The first longest interval alone, but all of them if it is longer than WIDTH.
+    The first longest interval alone, but all of them if it is longer than WIDTH. One pass over the text finds them.
     """
-    tokens = [t for t, _ in query_tokens(keyword)] or [""]
-    found = F.filter(bigram_positions(F.col(column)), lambda x: x["token"].isin(tokens))
-    p, starts, ends, every = (f"_{name}_{k}" for k in "psea")
-    out = docs.withColumn(p, F.transform(found, lambda x: x["pos"]))
-    far = lambda a, b: (b - a) > 2
-    out = out.withColumn(starts, F.filter(p, lambda x, i: (i == 0) | far(F.get(F.col(p), i - 1), x)))
-    out = out.withColumn(ends, F.transform(F.filter(p, lambda x, i: (i == F.size(p) - 1) | far(x, F.get(F.col(p), i + 1))), lambda x: x + 1))
-    out = out.withColumn(every, F.transform(F.col(starts), lambda s, i: F.struct(s.alias("s"), F.get(F.col(ends), i).alias("e"))))
-    longest = F.array_max(F.transform(F.col(every), lambda x: x["e"] - x["s"] + 1))
-    out = out.withColumn(p, longest)
-    best = F.when(F.col(p) > WIDTH, F.col(every)).otherwise(F.slice(F.filter(every, lambda x: x["e"] - x["s"] + 1 == F.col(p)), 1, 1))
-    return out.withColumn(name, F.when(F.size(every) > 0, best).otherwise(F.col(every))).drop(p, starts, ends, every)
+    pattern = islands(keyword)
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    short_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<struct<s: int, e: int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = (None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist())
+        return pa.array([None if t is None else _spans(t, pattern) if pattern else [] for t in found], kind)
+
+    return docs.withColumn(name, run(F.col(column)))
 
 
 def marked(s: Column, spans: Column, start: Column, end: Column) -> Column:
