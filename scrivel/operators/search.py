@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scrivel.functions.text import INDEXED, host_of
 from scrivel.operators.index import Index, index_of
+from scrivel.sources.store import fresh, written
 
 _PAIR = re.compile(f"(?=([{INDEXED}]{{2}}))")
 SHARD_HITS = 50
@@ -149,20 +150,30 @@ def search(index: Index | DataFrame, text: str, by: tuple[str, ...] = (), compat
         return _scored(index, rows, q.keywords[0], by, True).select(*keys, "score")
     out = keyword_scores(index, q.keywords[0], q.site, by).select(*keys, "score")
     for k in q.keywords[1:]:
-        other = keyword_scores(index, k, q.site, by).select(*keys, "score")
+        other = ranked(keyword_scores(index, k, q.site, by).select(*keys, "score"), *by)
         both = out.select(*keys).join(other.select(*keys), keys, "left_semi")
-        if by:
-            rank = F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))
-            other = other.withColumn("rank", rank).join(both.groupBy(*by).agg(F.count("*").alias("k")), list(by))
-            out = other.where("rank <= k").select(*keys, "score")
-        else:
-            out = other.orderBy("doc_id").limit(both.count())
+        size = both.groupBy(*by).agg(F.count("*").alias("k"))
+        other = other.join(size, list(by)) if by else other.crossJoin(F.broadcast(size))
+        out = other.where("rank <= k").select(*keys, "score")
     for x in q.exclusions:
         if query_tokens(x):
             out = out.join(gathered(index, [x], q.site, by).where(has_all(x)).select(*keys), keys, "left_anti")
     return out
 
 
+def ranked(hits: DataFrame, *by: str) -> DataFrame:
+    """hits with rank: their place by id, of each shard. Ranges of ids are numbered apart and moved on by the sizes of those
+    before, so no task gets all hits, however many are asked for."""
+    spark = hits.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hits = written(hits.repartitionByRange(parts, *by, "doc_id").withColumn("_range", F.spark_partition_id()), fresh(spark, "hits"))
+    keys = [*by, "_range"]
+    sizes = hits.groupBy(*keys).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select(*keys, (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))
+    return hits.withColumn("_at", at).join(F.broadcast(before), keys).withColumn("rank", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+
+
 def first_hits(hits: DataFrame, n: int = SHARD_HITS, *by: str) -> DataFrame:
     """The first hits by id, of each shard."""
     if not by:
