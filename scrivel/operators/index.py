@@ -30,8 +30,13 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("document_count").alias("document_count"), F.sum("positions_count").alias("positions_count"))
 
 
-#: bytes of a row group of postings
-ROW_GROUP = 16 << 20
+#: how postings are written: small row groups, so that a token filter skips most, and positions as packed differences
+#: (version 2 of the format, no dictionaries of positions), which are smaller and take less time than plain lists
+_WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("title_pos", "body_pos")}
+#: bytes of text that postings are made of at once: what they take stays in a core's cache
+_PIECE = 512 << 10
+#: bytes of written documents that a task makes postings of, so that it sorts them in memory and no task is the last by far
+_SPLIT = 16 << 20
 _LISTS = {"title_pos": "array<int>", "body_pos": "array<int>"}
 #: a token is a number below PAIRS: two indexed characters, each ranked by code point (0: not indexed)
 RANKS = 62 + 0x9FA5 - 0x4E00 + 2
@@ -60,12 +65,12 @@ def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = first[(first > 0) & (first < len(at))]
     follows[inner - 1] = False
     here = np.flatnonzero((rank[:-1] > 0) & follows)
-    row = np.searchsorted(first, here, side="right") - 1
-    return row, rank[here].astype(np.int64) * RANKS + rank[here + 1], here - first[row]
+    n = np.diff(np.searchsorted(here, first))  # of each text
+    return np.repeat(np.arange(len(n)), n), rank[here].astype(np.int64) * RANKS + rank[here + 1], here - np.repeat(first[:-1], n)
 
 
-def _character(rank: int) -> str:
-    return chr(rank - 63 + 0x4E00) if rank > 62 else chr(int(np.flatnonzero(_ASCII == rank)[0]))
+#: the character of each rank
+_CHARACTERS = [chr(c) for c in [0, *np.flatnonzero(_ASCII), *range(0x4E00, 0x9FA6)]]
 
 
 def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -85,8 +90,9 @@ def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
     for mine, offsets in ((title, before[bounds]), (~title, bounds - before[bounds])):
         lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pos[at[mine]])))
     keys, row = np.divmod(group[starts], max(len(ids), 1))
-    distinct, which = np.unique(keys, return_inverse=True)
-    tokens = pa.array([_character(k // RANKS) + _character(k % RANKS) for k in distinct.tolist()], pa.string()).take(pa.array(which))
+    new = np.diff(keys, prepend=-1) != 0  # keys are in order
+    distinct = [_CHARACTERS[k // RANKS] + _CHARACTERS[k % RANKS] for k in keys[new].tolist()]
+    tokens = pa.array(distinct, pa.string()).take(pa.array(np.cumsum(new) - 1))
     return pa.RecordBatch.from_arrays([tokens, ids.take(pa.array(row)), *lists], names=["token", "doc_id", *_LISTS])
 
 
@@ -97,7 +103,7 @@ def postings(docs: DataFrame) -> DataFrame:
     gathered after it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = map_pieces(docs.select("doc_id", "title", "body"), _posted, f"token string, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _LISTS.items()))
+    made = map_pieces(docs.select("doc_id", "title", "body"), _posted, f"token string, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _LISTS.items()), _PIECE)
     shared = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
     if shared.isEmpty():
         return made
@@ -124,29 +130,38 @@ def index_of(docs: DataFrame) -> Index:
     return Index(docs, postings(docs), token_stats(docs))
 
 
-def save_index(docs: DataFrame, path: str, parts: int) -> None:
-    """Writes documents in so many parts, each part's postings sorted by token so that a token filter skips most of it, and
-    the tokens' statistics. Postings stay with their documents: a query reads its tokens from all parts alike."""
-    docs.repartition(parts, "doc_id").write.mode("overwrite").parquet(f"{path}/docs")
-    docs = docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs")
-    made = postings(docs).sortWithinPartitions("token", "doc_id")
-    made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-    found = docs.sparkSession.read.schema(made.schema).parquet(f"{path}/postings")
-    stats_of(found).write.mode("overwrite").parquet(f"{path}/stats/batch=-1")
+def save_index(docs: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes documents in so many parts (None: as they are), each part's postings sorted by token so that a token filter skips
+    most of it, and the tokens' statistics. Postings stay with their documents: a query reads its tokens from all parts alike."""
+    (docs.repartition(parts, "doc_id") if parts else docs).write.mode("overwrite").parquet(f"{path}/docs")
+    _post(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs"), f"{path}/postings", f"{path}/stats/batch=-1")
+
+
+def _post(docs: DataFrame, path: str, stats_path: str) -> None:
+    spark, key = docs.sparkSession, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(_SPLIT))  # there is no such option of one read
+    try:
+        made = with_size(postings(docs)).sortWithinPartitions("token", "doc_id")
+        made.write.mode("overwrite").options(**_WRITTEN).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    stats_of(docs.sparkSession.read.schema(made.schema).parquet(path)).write.mode("overwrite").parquet(stats_path)
+
+
+def with_size(posted: DataFrame) -> DataFrame:
+    """Postings with n, their number of positions, so that statistics need not read the positions."""
+    return posted.withColumn("n", F.size("title_pos") + F.size("body_pos"))
 
 
 def stats_of(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("token").agg(F.count("*").alias("document_count"), F.sum((F.size("title_pos") + F.size("body_pos")).cast("long")).alias("positions_count"))
+    return posted.groupBy("token").agg(F.count("*").alias("document_count"), F.sum(F.col("n").cast("long")).alias("positions_count"))
 
 
 def append_index(docs: DataFrame, path: str, batch: int = 0) -> None:
     """Adds documents under a batch number; the same batch again replaces itself, so a retried one counts once."""
-    spark = docs.sparkSession
     docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
-    docs = spark.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}")
-    made = postings(docs).sortWithinPartitions("token", "doc_id")
-    made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings/batch={batch}")
-    stats_of(spark.read.schema(made.schema).parquet(f"{path}/postings/batch={batch}")).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+    _post(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}"), f"{path}/postings/batch={batch}", f"{path}/stats/batch={batch}")
 
 
 _POSTINGS = "token string, doc_id bigint, title_pos array<int>, body_pos array<int>"

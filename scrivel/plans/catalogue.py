@@ -25,8 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
-def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_documents(table(spark, sf_dir, "pages"))
+def docs_of(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """parts: pages are spread over so many before they are parsed, however few row groups their files have."""
+    pages = table(spark, sf_dir, "pages")
+    return parse_documents(pages.repartition(parts, "page_id") if parts else pages)
 
 
 _BUILT: dict[tuple[str, str, str], str] = {}
@@ -36,12 +38,12 @@ def built(spark: SparkSession, sf_dir: str, name: str = "pages") -> index.Index:
     """The index of a table, written once in a session; searches read postings, never pages."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
+        parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), store.fresh(spark, f"index-{name}")
         if name == "pages":
-            docs = docs_of(spark, sf_dir)
+            index.save_index(docs_of(spark, sf_dir, parts), path)
         else:
             docs = table(spark, sf_dir, name).select("doc_id", F.col("source").alias("url"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
-        path = store.fresh(spark, f"index-{name}")
-        index.save_index(docs, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            index.save_index(docs, path, parts)
         _BUILT[key] = path
     return index.open_index(spark, _BUILT[key])
 
