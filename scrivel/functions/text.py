@@ -14,7 +14,10 @@ BIGRAM = f"[{INDEXED}]{{2}}"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_extract(c, f"(?s)^[{EDGE}]*(.*[^{EDGE}])", 1)
+    """The pattern goes through the whole text, so it is for those that still have an edge once plain blanks are off."""
+    plain = F.trim(c)
+    ends = F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1)))
+    return F.when(ends.rlike(f"[{EDGE}]"), F.regexp_extract(plain, f"(?s)^[{EDGE}]*(.*[^{EDGE}])", 1)).otherwise(plain)
 
 
 def title_of(html: Column) -> Column:

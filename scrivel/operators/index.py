@@ -4,9 +4,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivel.functions import codec
 from scrivel.functions.batches import map_pieces
 from scrivel.functions.text import bigrams
 
@@ -30,11 +31,15 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("document_count").alias("document_count"), F.sum("positions_count").alias("positions_count"))
 
 
-#: how postings are written: small row groups, so that a token filter skips most, and positions as packed differences
-#: (version 2 of the format, no dictionaries of positions), which are smaller and take less time than plain lists
-_WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("title_pos", "body_pos")}
-#: bytes of text that postings are made of at once: what they take stays in a core's cache
-_PIECE = 512 << 10
+#: a block: what some documents that came together have of one token. Each document's id, then in varints how many positions
+#: of title and body each has, and the positions as differences; documents and n (positions) are the block's counts
+_VARINTS = ("title_sizes", "body_sizes", "titles", "bodies")
+_BLOCK = {"token": "string", "doc_ids": "array<bigint>"} | dict.fromkeys(_VARINTS, "binary") | {"documents": "bigint", "n": "bigint"}
+#: how blocks are written: small row groups, so that a token filter skips most, ids as packed differences (version 2 of the
+#: format), no dictionaries but the tokens'
+_WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_ids.list.element", *_VARINTS)}
+#: bytes of text that postings are made of at once: what they take is small, and a token's block holds many documents
+_PIECE = 1 << 20
 #: bytes of written documents that a task makes postings of, so that it sorts them in memory and no task is the last by far
 _SPLIT = 16 << 20
 _LISTS = {"title_pos": "array<int>", "body_pos": "array<int>"}
@@ -96,20 +101,71 @@ def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([tokens, ids.take(pa.array(row)), *lists], names=["token", "doc_id", *_LISTS])
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The blocks of some postings: one for each run of a token."""
+    tokens, ids = batch.column(0), batch.column(1)
+    starts = np.flatnonzero(np.diff(tokens.dictionary_encode().indices.to_numpy(), prepend=-1))
+    bounds = np.append(starts, len(tokens))
+    lists = lambda at, values: codec._put_all(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)))
+    sizes, places, n = [], [], np.zeros(len(starts), dtype=np.int64)
+    for column in (batch.column(2), batch.column(3)):
+        at = codec._bounds(column)
+        pos = column.values.slice(at[0], at[-1] - at[0]).to_numpy()
+        at = at - at[0]
+        first = at[:-1][np.diff(at) > 0]  # each document's first position stays as it is
+        steps = np.diff(pos, prepend=0)
+        steps[first] = pos[first]
+        sizes.append(lists(bounds, np.diff(at)))
+        places.append(lists(at[bounds], steps))
+        n += np.diff(at[bounds])
+    ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids)
+    return pa.RecordBatch.from_arrays([tokens.take(pa.array(starts)), ids, *sizes, *places, pa.array(np.diff(bounds)), pa.array(n)], names=list(_BLOCK))
+
+
+def _unpacked(ids: Column, *varints: Column) -> Column:
+    """The postings of a block, as an array of (doc_id, title_pos, body_pos)."""
+
+    @F.arrow_udf("array<struct<doc_id: bigint, title_pos: array<int>, body_pos: array<int>>>")
+    def run(ids: pa.Array, title_sizes: pa.Array, body_sizes: pa.Array, titles: pa.Array, bodies: pa.Array) -> pa.Array:
+        lists = []
+        for sizes, steps in ((title_sizes, titles), (body_sizes, bodies)):
+            n, total = codec._get_all(sizes).flatten().to_numpy(), np.cumsum(codec._get_all(steps).flatten().to_numpy())
+            at = np.concatenate([[0], np.cumsum(n)])
+            pos = total - np.repeat(np.concatenate([[0], total])[at[:-1]], n)
+            lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(pos.astype(np.int32))))
+        at = codec._bounds(ids) if len(ids) else np.zeros(1)
+        posts = pa.StructArray.from_arrays([ids.flatten(), *lists], names=["doc_id", *_LISTS])
+        return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), posts)
+
+    return run(ids, *varints)
+
+
+def _made(docs: DataFrame, blocks: bool) -> DataFrame:
+    """Postings, or blocks of them, made where the texts are; only those of documents that share an id are gathered."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = {"token": "string", "doc_id": kind} | _LISTS
+    schema = lambda kinds: ", ".join(f"{c} {t}" for c, t in kinds.items())
+    post = lambda d, fn, kinds: map_pieces(d.select("doc_id", "title", "body"), fn, schema(kinds), _PIECE)
+    kinds = _BLOCK | {"doc_ids": f"array<{kind}>"}
+    made = lambda d: post(d, lambda b: _packed(_posted(b)), kinds) if blocks else post(d, _posted, rows)
+    shared = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if shared.isEmpty():
+        return made(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    together = [F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in _LISTS]
+    gathered = post(docs.join(shared, same, "left_semi"), _posted, rows).groupBy("token", "doc_id").agg(*together)
+    if blocks:
+        gathered = map_pieces(gathered.sortWithinPartitions("token", "doc_id"), _packed, schema(kinds), _PIECE)
+    return made(docs.join(shared, same, "left_anti")).unionByName(gathered)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """token, doc_id, title_pos, body_pos (sorted arrays): a posting for each token of a document.
 
     All tokens of a document are found where its text is, so nothing is shuffled. Only documents that share an id are
     gathered after it.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = map_pieces(docs.select("doc_id", "title", "body"), _posted, f"token string, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _LISTS.items()), _PIECE)
-    shared = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    if shared.isEmpty():
-        return made
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    together = [F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in _LISTS]
-    return made.join(shared, same, "left_anti").unionByName(made.join(shared, same, "left_semi").groupBy("token", "doc_id").agg(*together))
+    return _made(docs, blocks=False)
 
 
 @dataclass
@@ -131,8 +187,8 @@ def index_of(docs: DataFrame) -> Index:
 
 
 def save_index(docs: DataFrame, path: str, parts: int | None = None) -> None:
-    """Writes documents in so many parts (None: as they are), each part's postings sorted by token so that a token filter skips
-    most of it, and the tokens' statistics. Postings stay with their documents: a query reads its tokens from all parts alike."""
+    """Writes documents in so many parts (None: as they are), blocks of each part's postings sorted by token so that a token filter
+    skips most of it, and the tokens' statistics. Postings stay with their documents: a query reads its tokens from all parts alike."""
     (docs.repartition(parts, "doc_id") if parts else docs).write.mode("overwrite").parquet(f"{path}/docs")
     _post(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs"), f"{path}/postings", f"{path}/stats/batch=-1")
 
@@ -142,20 +198,15 @@ def _post(docs: DataFrame, path: str, stats_path: str) -> None:
     before = spark.conf.get(key)
     spark.conf.set(key, str(_SPLIT))  # there is no such option of one read
     try:
-        made = with_size(postings(docs)).sortWithinPartitions("token", "doc_id")
+        made = _made(docs, blocks=True).sortWithinPartitions("token")
         made.write.mode("overwrite").options(**_WRITTEN).parquet(path)
     finally:
         spark.conf.set(key, before)
     stats_of(docs.sparkSession.read.schema(made.schema).parquet(path)).write.mode("overwrite").parquet(stats_path)
 
 
-def with_size(posted: DataFrame) -> DataFrame:
-    """Postings with n, their number of positions, so that statistics need not read the positions."""
-    return posted.withColumn("n", F.size("title_pos") + F.size("body_pos"))
-
-
-def stats_of(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("token").agg(F.count("*").alias("document_count"), F.sum(F.col("n").cast("long")).alias("positions_count"))
+def stats_of(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("token").agg(F.sum("documents").alias("document_count"), F.sum("n").alias("positions_count"))
 
 
 def append_index(docs: DataFrame, path: str, batch: int = 0) -> None:
@@ -164,7 +215,6 @@ def append_index(docs: DataFrame, path: str, batch: int = 0) -> None:
     _post(docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}"), f"{path}/postings/batch={batch}", f"{path}/stats/batch={batch}")
 
 
-_POSTINGS = "token string, doc_id bigint, title_pos array<int>, body_pos array<int>"
 _DOCS = "doc_id bigint, url string, title string, body string"
 
 
@@ -172,7 +222,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     """A saved index, whatever was appended to it included."""
     read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
     stats = merge_stats(read("stats", "token string, document_count bigint, positions_count bigint"))
-    return Index(read("docs", _DOCS), read("postings", _POSTINGS), stats)
+    blocks = read("postings", ", ".join(f"{c} {t}" for c, t in _BLOCK.items()))
+    return Index(read("docs", _DOCS), blocks.select("token", F.inline(_unpacked("doc_ids", *_VARINTS))), stats)
 
 
 def lookup(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
